@@ -57,9 +57,9 @@ def gc_count(seq: Column | str) -> Column:
 
 
 def letters(text: Column | str) -> Column:
-    """The characters of a string as an array; empty for an empty string."""
+    """The characters of a string as an array; empty for an empty string, null for null."""
     text = _col(text)
-    return F.when(F.length(text) > 0, F.split(text, "(?!^)(?!$)")).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) > 0, F.split(text, "(?!^)(?!$)")).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def kmers(seq: Column | str, k: int) -> Column:
@@ -91,7 +91,7 @@ def low_complexity(kmer: Column | str, max_period: int = 3) -> Column:
     kmer = _col(kmer)
     hit = F.lit(False)
     for shift in range(1, max_period + 1):
-        hit = hit | (F.expr("1 = 1") & (F.substring(kmer, F.lit(1), F.length(kmer) - shift) == F.substring(kmer, F.lit(shift + 1), F.length(kmer))))
+        hit = hit | ((F.substring(kmer, F.lit(1), F.length(kmer) - shift) == F.substring(kmer, F.lit(shift + 1), F.length(kmer))))
     return hit
 
 
