@@ -149,6 +149,7 @@ def _emit_signatures(plan: Plan):
         n = plan.bands
         for batch in batches:
             if batch.num_rows:
+                batch = _distinct(batch)
                 parts = [
                     np.stack(_lanes(minima(batch.column(1 + f), plan.sizes[f], plan.multipliers[s], plan.offsets[s]), plan.lane_bits), axis=1)
                     for f, s in ((0, slice(0, n)), (1, slice(n, None)))
@@ -278,8 +279,8 @@ def class_links(df: DataFrame, one: Column, two: Column, row_id: str = "read_no"
     ids = small_side(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 16)
     texts = texts.join(ids, "id", "left_semi")
     words = [n * plan.lane_bits // 64 + bool(n * plan.lane_bits % 64) for n in plan.counts]
-    sigs = texts.dropDuplicates(["id"]).mapInArrow(_emit_signatures(plan), "id long, sig_one array<long>, sig_two array<long>")
-    sigs = cut(sigs)
+    sigs = texts.mapInArrow(_emit_signatures(plan), "id long, sig_one array<long>, sig_two array<long>")
+    sigs = cut(sigs.dropDuplicates(["id"]))  # of copies, signatures are shuffled and not texts
     side = lambda x: sigs.select(F.col("id").alias(x), F.col("sig_one").alias(f"one_{x}"), F.col("sig_two").alias(f"two_{x}"))
     padding = [w * 64 // plan.lane_bits - n for w, n in zip(words, plan.counts, strict=True)]
     close = candidates.join(side("a"), "a").join(side("b"), "b").where(
