@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from strandloom.llm.neardup import _distinct, _mix, _strings
+from strandloom.llm.neardup import _distinct, _strings
+from strandloom.session import small_side
 
 _CODE = np.full(256, 4, np.uint8)
 _CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)
@@ -193,6 +194,7 @@ def _shared_windows(contents: DataFrame, length: int) -> DataFrame:
     texts = contents.select("id", "text")
     anchors = texts.mapInArrow(_emit_anchors(length), "anchor long, id long")
     several = anchors.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("anchor")
+    several = small_side(several, 16)  # few enough: the contexts, most of which go, are not shuffled
     contexts = texts.mapInArrow(_emit_contexts(length), "anchor long, id long, first int, windows short, context binary")
     kept = contexts.join(several, "anchor").select("id", "first", "windows", "context")
     return kept.mapInArrow(_emit_windows(length), "digest long, id long, at int")
