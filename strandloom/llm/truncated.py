@@ -1,7 +1,7 @@
 """Texts that were cut off, by comparing their last trigram with all trigrams.
 
 The text is split into words, numbers, line ends and markup marks.  Words that
-hold at least 1/2000 of all tokens stay themselves: at most 2000, the only thing
+hold at least 1/1250 of all words stay themselves: at most 1250, the only thing
 that reaches the driver.  Others
 become their class (capitalised, all capitals, lower case, number), so that
 trigrams recur.  All trigrams are counted inside texts, the last ones also as
@@ -12,7 +12,7 @@ with the weight of ``prior`` occurrences.  Half a mark at the end, such as one
 bracket of two, or the beginning of a frequent word is left out of the ending.
 
 Everything is SQL: the two counts are ordinary aggregations with partial sums,
-the corpus is read twice and only trigram hashes are shuffled.
+the corpus is read three times and only words and trigram hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -26,53 +26,61 @@ _TOKEN = (
     r"\\p{L}+|[0-9]+|\\n+|\\[\\[|\\]\\]|\\{\\{+|\\}\\}+|\\{\\||\\|[}|-]|\\x27{2,}|={2,}|<!--|-->|</|/>|&[a-z]+;|[^\\s\\p{L}0-9]"
 )
 
-_CLASS = r"""
-  case when t rlike '^[0-9]' then '9' when t rlike '^\\n' then '\n' when not t rlike '^\\p{L}' then t
-       when t rlike '^\\p{Lu}{2,}$' then 'U' when t rlike '^\\p{Lu}' then 'A' else 'a' end"""
+#: A token's class without regular expressions: caseless tokens of one letter stay themselves.
+_CLASS = """
+  case when ascii(t) between 48 and 57 then '9' when ascii(t) = 10 then '\\n'
+       when upper(t) = lower(t) then if(ascii(t) > 127 and length(t) > 1, 'a', t)
+       when upper(t) = t then if(length(t) > 1, 'U', 'A')
+       when lower(t) = t then 'a' when lower(left(t, 1)) = left(t, 1) then 'a' else 'A' end"""
 
+#: Letters of the end of a text that are looked at: its last tokens lie in them.
+_END = 600
 
 #: Single letters that begin a mark of two.
 _FRAGMENTS = "'[', ']', '{', '}', '<', '</', '/', '&'"
 #: What a line, a list item, a cell or a parameter begins with.
-_OPENERS = r"'^', '\\n', '*', '#', ':', '|', '||', '|-', '='"
+_OPENERS = r"'^', '\n', '*', '#', ':', '|', '||', '|-', '='"
 
 
 def frequent_sql(table: str, text: str, share: float) -> str:
-    """SQL of the words that hold at least ``share`` of all tokens: at most 1 / share rows."""
+    """SQL of the words that hold at least ``share`` of all words: at most 1 / share rows."""
     return rf"""
 with words as (
-  select t, count(*) as n from (
-    select explode(regexp_extract_all(regexp_replace(`{text}`, '{_TAIL}', ''), '{_TOKEN}', 0)) as t from {table} where `{text}` is not null
-  ) group by t
+  select t, count(*) as n from (select explode(regexp_extract_all(`{text}`, '\\p{{L}}+', 0)) as t from {table}) group by t
 )
-select t from words where n >= (select sum(n) from words) * {share!r} and t rlike '^\\p{{L}}' order by t
+select t from words where n >= (select sum(n) from words) * {share!r} order by t
 """
 
 
 def flag_sql(table: str, row_id: str, text: str, known: list[str], rate: float = 0.8, prior: float = 30.0) -> str:
     """SQL of (row_id, truncated, lift) over a table or view."""
     words = ", ".join(f"'{w}'" for w in known) or "''"
+    shape = f"case when t in ({words}) then t else {_CLASS} end"
+    start = "xxhash64('^')"
     return rf"""
-with texts as (
-  select row_id, xxhash64(right(t, 80)) as tail, regexp_extract_all(t, '{_TOKEN}', 0) as tokens
-  from (select `{row_id}` as row_id, regexp_replace(`{text}`, '{_TAIL}', '') as t from {table} where `{text}` is not null)
-), shaped as (
-  select row_id, tail, tokens[size(tokens) - 1] as final, transform(tokens, t -> case when t in ({words}) then t else {_CLASS} end) as s
-  from texts where size(tokens) > 0
-), padded as (
-  select row_id, tail, final, concat(array('^', '^', '^'), s) as s from shaped
-), grams as (
-  select xxhash64(a, b, c) as g3, xxhash64(b, c) as g2, xxhash64(c) as g1, count(*) as n
-  from (select inline(transform(sequence(3, size(s) - 1), i -> struct(s[i - 2] as a, s[i - 1] as b, s[i] as c))) from padded)
-  group by xxhash64(a, b, c), xxhash64(b, c), xxhash64(c)
+with grams as (
+  select a, b, c, count(*) as n from (
+    select inline(transform(sequence(3, size(s) - 1), i -> struct(s[i - 2] as a, s[i - 1] as b, s[i] as c))) from (
+      select concat(array({start}, {start}, {start}), transform(tokens, t -> xxhash64({shape}))) as s
+      from (select regexp_extract_all(`{text}`, '{_TOKEN}', 0) as tokens from {table} where `{text}` is not null) where size(tokens) > 0)
+  ) group by a, b, c
 ), grouped as (
-  select k, g, sum(n) as n from (select inline(array(struct(3 as k, g3 as g, n), struct(2 as k, g2 as g, n), struct(1 as k, g1 as g, n))) from grams) group by k, g
+  select k, g, sum(n) as n from (
+    select inline(array(struct(3 as k, xxhash64(a, b, c) as g, n), struct(2 as k, xxhash64(b, c) as g, n), struct(1 as k, xxhash64(c) as g, n))) from grams
+  ) group by k, g
 ), ends as (
-  select tail, count(*) as c, any_value(slice(s, -4, 4)) as s, any_value(final) as final from padded group by tail
+  select row_id, xxhash64(right(t, 80)) as tail, regexp_extract_all(t, '{_TOKEN}', 0) as tokens from (
+    select `{row_id}` as row_id, regexp_replace(right(rtrim(' 	
+…�', `{text}`), {_END}), '{_TAIL}', '') as t from {table})
+), tails as (
+  select tail, count(*) as c, any_value(slice(tokens, -4, 4)) as tokens from (
+    select tail, concat(array('^', '^', '^'), tokens) as tokens from ends where size(tokens) > 0) group by tail
+), shaped as (
+  select tail, c, tokens[3] as final, transform(tokens, t -> {shape}) as s from tails
 ), marked as (
-  select tail, c, s,
+  select tail, c, transform(s, x -> xxhash64(x)) as s,
     s[2] not in ({_OPENERS}) and (final in ({_FRAGMENTS}) or final not in ({words}) and exists(array({words}), w -> startswith(w, final))) as fragment
-  from ends
+  from shaped
 ), lasts as (
   select tail, c, inline(array(
     struct(3 as k, if(fragment, xxhash64(s[0], s[1], s[2]), xxhash64(s[1], s[2], s[3])) as g),
@@ -87,20 +95,17 @@ with texts as (
   select l.tail, {", ".join(f"max(if(l.k = {k}, greatest(n - c, 0), 0)) as n{k}, max(if(l.k = {k}, e - c, 0)) as e{k}" for k in (1, 2, 3))}
   from lasts l left join rated r on l.k = r.k and l.g = r.g group by l.tail
 ), base as (
-  select (select count(*) from padded) / greatest((select sum(n) from grams), 1) as p
+  select (select sum(c) from tails) / greatest((select sum(n) from grams), 1) as p
 ), lifted as (
   select /*+ broadcast(base) */ tail,
     (e3 + {prior!r} * (e2 + {prior!r} * (e1 + {prior!r} * p) / (n1 + {prior!r})) / (n2 + {prior!r})) / (n3 + {prior!r}) / p as lift
   from judged cross join base
 )
-select t.row_id, coalesce(lift < {rate!r}, false) as truncated, lift from texts t join lifted l on t.tail = l.tail where size(t.tokens) > 0
-union all
-select `{row_id}`, false, cast(null as double) from {table}
-where `{text}` is null or size(regexp_extract_all(regexp_replace(`{text}`, '{_TAIL}', ''), '{_TOKEN}', 0)) = 0
+select e.row_id, coalesce(lift < {rate!r}, false) as truncated, lift from ends e left join lifted l on e.tail = l.tail and size(e.tokens) > 0
 """
 
 
-def truncated_texts(df: DataFrame, row_id: str = "doc_id", text: str = "text", rate: float = 0.8, share: float = 0.0005, prior: float = 30.0) -> DataFrame:
+def truncated_texts(df: DataFrame, row_id: str = "doc_id", text: str = "text", rate: float = 0.8, share: float = 0.0008, prior: float = 30.0) -> DataFrame:
     """(``row_id``, ``truncated``, ``lift``) for every row.
 
     ``lift`` is how often the ending ends texts, relative to an average token;
