@@ -43,17 +43,6 @@ def bin16(b: Column) -> Column:
     return binned(b, BIN16)
 
 
-def _jumps(scores: Column, counts) -> Column:
-    """Steps at which ``counts(previous, current)`` holds, before each position, capped."""
-    start = F.struct(F.lit(None).cast("int").alias("prev"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, q: Column) -> Column:
-        n = F.least(acc["n"] + F.coalesce(counts(acc["prev"], q), F.lit(False)).cast("int"), F.lit(DELTA_CAP))
-        return F.struct(q.alias("prev"), n.alias("n"), F.concat(acc["out"], F.array(acc["n"])).alias("out"))
-
-    return F.aggregate(scores, start, step)["out"]
-
-
 def jump_total(scores: Column, coded: bool) -> Column:
     """Large jumps of a read, at most 49.
 
@@ -65,7 +54,7 @@ def jump_total(scores: Column, coded: bool) -> Column:
 
     def step(acc: Column, q: Column) -> Column:
         if coded:
-            before = F.coalesce(bin42(acc["prev"]), F.lit(0))
+            before = F.when(acc["prev"].isNull(), 0).otherwise(bin42(acc["prev"]))
             hit = ((before - q) < -1) | ((before - q) >= 1)
         else:
             hit = F.coalesce(F.abs(q - acc["prev"]) > 1, F.lit(False))

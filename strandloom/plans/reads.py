@@ -256,7 +256,7 @@ def qual_pair_prior(r):
 ), d as (
   select *, least(coalesce(sum(case when q1 - q < -1 or q1 - q >= 1 then 1 else 0 end) over (partition by read_no order by i rows between unbounded preceding and 1 preceding), 0), 49) as jumps from b
 ), x as (
-  select cast((i - 1) // ceil(len / 4) as integer) as pos4,
+  select cast((i - 1) // cast(ceil(len / 4) as integer) as integer) as pos4,
     case when jumps = 0 then 0 when jumps = 1 then 1 when jumps <= 4 then 2 when jumps <= 9 then 3 when jumps <= 17 then 4 when jumps <= 27 then 5 when jumps <= 48 then 6 else 7 end as delta,
     greatest(case when a3 is null then 0 else {_BIN16.format('b3')} end, case when a4 is null then 0 else {_BIN16.format('b4')} end) as q34,
     case when a2 is null then 0 else {_BIN16.format('b2')} end as q2, q1, q from d
