@@ -18,6 +18,9 @@ the corpus is read three times and only words and trigram hashes are shuffled.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.session import cut
 
 #: Marks that a cut may leave behind it, and blanks.
 _TAIL = r"(?:\\s|…|\\.\\.\\.|\\[\\.\\.\\.\\]|�)+$"
@@ -52,8 +55,21 @@ select t from words where n >= (select sum(n) from words) * {share!r} order by t
 """
 
 
-def flag_sql(table: str, row_id: str, text: str, known: list[str], rate: float = 0.8, prior: float = 30.0) -> str:
-    """SQL of (row_id, truncated, lift) over a table or view."""
+def ends_sql(table: str, row_id: str, text: str) -> str:
+    """SQL of (row_id, tail, tokens): the last four tokens of each text, and a hash of its last 80 letters.
+
+    A text that ends in more blanks than are looked at is trimmed first.
+    """
+    end = f"right(`{text}`, {_END})"
+    kept = f"regexp_replace(if(trim('\\n\\r\\t ' from {end}) = '', right(rtrim('\\n\\r\\t ', `{text}`), {_END}), {end}), '{_TAIL}', '')"
+    return f"""
+select row_id, xxhash64(right(t, 80)) as tail, if(size(tokens) > 0, slice(concat(array('^', '^', '^'), tokens), -4, 4), null) as tokens from (
+  select row_id, t, regexp_extract_all(t, '{_TOKEN}', 0) as tokens from (select `{row_id}` as row_id, {kept} as t from {table}))
+"""
+
+
+def flag_sql(table: str, ends: str, text: str, known: list[str], rate: float = 0.8, prior: float = 30.0) -> str:
+    """SQL of (row_id, truncated, lift) over a table or view of texts and the result of ends_sql()."""
     words = ", ".join(f"'{w}'" for w in known) or "''"
     shape = f"case when t in ({words}) then t else {_CLASS} end"
     start = "xxhash64('^')"
@@ -68,13 +84,8 @@ with grams as (
   select k, g, sum(n) as n from (
     select inline(array(struct(3 as k, xxhash64(a, b, c) as g, n), struct(2 as k, xxhash64(b, c) as g, n), struct(1 as k, xxhash64(c) as g, n))) from grams
   ) group by k, g
-), ends as (
-  select row_id, xxhash64(right(t, 80)) as tail, regexp_extract_all(t, '{_TOKEN}', 0) as tokens from (
-    select `{row_id}` as row_id, regexp_replace(right(rtrim(' 	
-…�', `{text}`), {_END}), '{_TAIL}', '') as t from {table})
 ), tails as (
-  select tail, count(*) as c, any_value(slice(tokens, -4, 4)) as tokens from (
-    select tail, concat(array('^', '^', '^'), tokens) as tokens from ends where size(tokens) > 0) group by tail
+  select tail, count(*) as c, any_value(tokens) as tokens from {ends} where tokens is not null group by tail
 ), shaped as (
   select tail, c, tokens[3] as final, transform(tokens, t -> {shape}) as s from tails
 ), marked as (
@@ -101,7 +112,7 @@ with grams as (
     (e3 + {prior!r} * (e2 + {prior!r} * (e1 + {prior!r} * p) / (n1 + {prior!r})) / (n2 + {prior!r})) / (n3 + {prior!r}) / p as lift
   from judged cross join base
 )
-select e.row_id, coalesce(lift < {rate!r}, false) as truncated, lift from ends e left join lifted l on e.tail = l.tail and size(e.tokens) > 0
+select e.row_id, coalesce(lift < {rate!r}, false) as truncated, lift from {ends} e left join lifted l on e.tail = l.tail and e.tokens is not null
 """
 
 
@@ -117,15 +128,15 @@ def truncated_texts(df: DataFrame, row_id: str = "doc_id", text: str = "text", r
     df.select(row_id, text).createOrReplaceTempView(name)
     spark: SparkSession = df.sparkSession
     known = [r[0] for r in spark.sql(frequent_sql(name, text, share)).collect()]  # at most 1 / share words
-    return spark.sql(flag_sql(name, row_id, text, known, rate, prior)).withColumnRenamed("row_id", row_id)
+    ends = f"{name}_ends"
+    cut(spark.sql(ends_sql(name, row_id, text))).createOrReplaceTempView(ends)  # a few words of each text
+    return spark.sql(flag_sql(name, ends, text, known, rate, prior)).withColumnRenamed("row_id", row_id)
 
 
 def truncation_rates(df: DataFrame, source: str = "source", row_id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
     """(``source``, ``texts``, ``truncated``, ``rate``) per source; a null source is a source."""
     flags = truncated_texts(df, row_id, text, **options).select(row_id, "truncated")
     joined = df.select(row_id, source).join(flags, row_id)
-    from pyspark.sql import functions as F
-
     return joined.groupBy(source).agg(
         F.count("*").alias("texts"), F.count_if("truncated").alias("truncated"), F.avg(F.col("truncated").cast("int")).alias("rate")
     )
