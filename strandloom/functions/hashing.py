@@ -44,20 +44,37 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
+_SHIFTS: dict[int, list[list[int]]] = {}
+
+
+def _zeros(power: int) -> list[list[int]]:
+    """Tables of 256 for each byte of a checksum: what 2**power zero bytes make of it."""
+    if power in _SHIFTS:
+        return _SHIFTS[power]
+    matrix = [POLYNOMIAL, *(1 << i for i in range(63))]  # one zero bit
+    for _ in range(power + 3):
+        matrix = [_times(matrix, x) for x in matrix]
+    tables = []
+    for byte in range(8):
+        table = [0]
+        for bit in range(8):
+            table += [x ^ matrix[8 * byte + bit] for x in table]
+        tables.append(table)
+    _SHIFTS[power] = tables
+    return tables
+
+
 def crc64_combine(a: int, b: int, b_length: int) -> int:
     """The checksum of two concatenated parts, from the checksums of the parts."""
-    if not b_length:
-        return a
-    odd = [POLYNOMIAL, *(1 << i for i in range(63))]  # one zero bit
-    matrix = odd
-    for _ in range(3):  # one zero byte
-        matrix = [_times(matrix, x) for x in matrix]
+    power = 0
     while b_length:
         if b_length & 1:
-            a = _times(matrix, a)
+            moved = 0
+            for i, table in enumerate(_zeros(power)):
+                moved ^= table[a >> 8 * i & 0xFF]
+            a = moved
         b_length >>= 1
-        if b_length:
-            matrix = [_times(matrix, x) for x in matrix]
+        power += 1
     return a ^ b
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,25 @@ def kmers(seq: Column | str, k: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+TILE = 256
+
+
+def tiles(df: DataFrame, keep: list[str], text: Column, overlap: int, tile: int = TILE) -> DataFrame:
+    """(keep.., tile_at, tile_text): a text in tiles that share ``overlap`` letters with the next.
+
+    A substring of a long string is found by walking to it, so windows are taken
+    from tiles and not from the whole text; tiles are cut in one pass.
+    """
+    parts = df.select(*keep, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{tile}}}"), F.lit(0)).alias("_parts"))
+    joined = F.transform(
+        "_parts",
+        lambda p, i: F.struct(
+            (i * tile).alias("tile_at"), F.concat(p, F.substring(F.coalesce(F.get("_parts", i + 1), F.lit("")), F.lit(1), F.lit(overlap))).alias("tile_text")
+        ),
+    )
+    return parts.select(*keep, F.inline(joined))
+
+
 def kmer_code(kmer: Column | str) -> Column:
     """A=0 C=1 G=2 T=3, first letter most significant, up to 31 letters.
 

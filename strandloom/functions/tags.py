@@ -89,12 +89,18 @@ def sorted_tags(aux: Column | str) -> Column:
     return F.array_sort(F.map_entries(_col(aux)))
 
 
+def element_type(tag: Column) -> Column:
+    """Element type of an array tag; i or f where only B is said."""
+    given = F.substring(tag["type"], 2, 1)
+    return F.when(given != "", given).when(tag["af"].isNotNull(), "f").otherwise("i")
+
+
 def format_tag(key: Column, tag: Column) -> Column:
     kind = F.substring(tag["type"], 1, 1)
     ints = F.array_join(F.transform(tag["ai"], lambda v: v.cast("string")), ",")
     floats = F.array_join(F.transform(tag["af"], short_float), ",")
     body = (
-        F.when(kind == "B", F.concat_ws(",", F.substring(tag["type"], 2, 1), F.nullif(F.coalesce(ints, floats, F.lit("")), F.lit(""))))
+        F.when(kind == "B", F.concat_ws(",", element_type(tag), F.nullif(F.coalesce(ints, floats, F.lit("")), F.lit(""))))
         .when(kind.isin("f", "d"), short_float(tag["f"]))
         .when(kind.isin("A", "Z", "H"), tag["s"])
         .otherwise(tag["i"].cast("string"))
@@ -124,7 +130,7 @@ def binary_bytes(aux: Column | str) -> Column:
         narrow = F.when(narrow_type(tag["i"]).isin("c", "C"), 1).when(narrow_type(tag["i"]).isin("s", "S"), 2).otherwise(4)
         element = F.lit(4)
         for k, w in WIDTH.items():
-            element = F.when(F.substring(tag["type"], 2, 1) == k, w).otherwise(element)
+            element = F.when(element_type(tag) == k, w).otherwise(element)
         listed = 5 + element * F.coalesce(F.size(tag["ai"]), F.size(tag["af"]), F.lit(0))
         value = (
             F.when(kind == "B", listed)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ def _numbered(df: DataFrame, part: list[str], order: list[str], reads: int) -> D
 
 def _combine(kind: str) -> Column:
     """Fold (crc, bytes) of a block's rows in order: pandas UDF over one array a block."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def fold(parts: pd.Series) -> pd.Series:
         out = []

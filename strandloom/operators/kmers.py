@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from strandloom.functions.nucleotide import canonical, kmers, revcomp
+from strandloom.functions.nucleotide import canonical, kmers, revcomp, tiles
 
 #: K-mer lengths for counting and seeding, largest stored count, positions kept per seed.
 COUNT_K, SEED_K, COUNT_CAP, SEED_CAP = 25, 12, 1023, 255
@@ -19,8 +19,9 @@ def kmer_rows(df: DataFrame, seq: Column, k: int, keep: list[str] = [], n_as_a:
     """
     text = F.upper(seq)
     text = F.translate(text, "N", "A") if n_as_a else text
-    rows = df.select(*keep, F.posexplode(kmers(text, k)).alias("at", "kmer"))
-    return rows.where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$"))
+    cut = tiles(df, keep, text, k - 1)
+    rows = cut.select(*keep, "tile_at", F.posexplode(kmers("tile_text", k)).alias("_at", "kmer"))
+    return rows.where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).select(*keep, (F.col("tile_at") + F.col("_at")).alias("at"), "kmer")
 
 
 def count_kmers(df: DataFrame, seq: Column, k: int = COUNT_K, cap: int | None = None, n_as_a: bool = False) -> DataFrame:

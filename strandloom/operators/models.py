@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.nucleotide import kmers
 from strandloom.functions.quality import contexts, phred
+from strandloom.operators.kmers import both_strands, kmer_rows
 
 #: Total at which adaptive counts are halved, caps of the prior tables.
 HALVE_AT, PAIR_CAP, GENOME_CAP = 1 << 15, 250, 100
@@ -17,8 +17,7 @@ HALVE_AT, PAIR_CAP, GENOME_CAP = 1 << 15, 250, 100
 
 def nucleotide_contexts(df: DataFrame, seq: Column, k: int, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """(keep.., context, symbol, at): each letter after its ``k`` preceding ones, ACGT only."""
-    text = F.upper(seq)
-    rows = df.select(*keep, F.posexplode(kmers(text, k + 1)).alias("at", "w")).where(F.col("w").rlike(f"^[ACGT]{{{k + 1}}}$"))
+    rows = kmer_rows(df, seq, k + 1, keep).withColumnRenamed("kmer", "w")
     return rows.select(*keep, "at", F.substring("w", 1, k).alias("context"), F.substring("w", k + 1, 1).alias("symbol"))
 
 
@@ -100,8 +99,6 @@ def quality_context_counts(df: DataFrame, qual: Column, base: int = 33) -> DataF
 
 def genome_prior(df: DataFrame, seq: Column, k: int, cap: int = GENOME_CAP) -> DataFrame:
     """(context, symbol, n): letters after their ``k`` preceding ones on both strands, capped."""
-    from strandloom.operators.kmers import both_strands
-
     rows = nucleotide_contexts(both_strands(df, F.upper(seq)), F.col("text"), k)
     return context_counts(rows, ["context"], "symbol").withColumn("n", F.least("n", F.lit(cap)))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.cigar import offsets, reference_length
 from strandloom.functions.nucleotide import revcomp
+from strandloom.functions.nucleotide import tiles as nucleotide_tiles
 
 DIFF_TYPE = "array<struct<op:string,read_at:int,ref_at:bigint,nt:string>>"
 
@@ -30,10 +31,10 @@ def quality_side(qual: Column | str, strand: Column | str) -> Column:
     return F.when(strand, F.reverse(qual)).otherwise(qual)
 
 
-def missing_names(reads: DataFrame, names: DataFrame) -> DataFrame:
-    """(seqname, reads): names used by reads that the dictionary lacks."""
-    used = reads.where(F.col("seqname").isNotNull()).groupBy("seqname").agg(F.count("*").alias("reads"))
-    return used.join(names.select("seqname"), "seqname", "left_anti")
+def missing_names(reads: DataFrame, names: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by.., seqname, reads): names used by reads that the dictionary, of the same ``by``, lacks."""
+    used = reads.where(F.col("seqname").isNotNull()).groupBy(*by, "seqname").agg(F.count("*").alias("reads"))
+    return used.join(names.select(*by, "seqname"), [*by, "seqname"], "left_anti")
 
 
 def with_reference(reads: DataFrame, names: DataFrame, strict: bool = False) -> DataFrame:
@@ -79,10 +80,8 @@ def header_check(lines: DataFrame, names: DataFrame) -> DataFrame:
 
 def tiles(names: DataFrame, tile: int) -> DataFrame:
     """(seqname, tile, text): the upper-case dictionary in pieces of ``tile`` letters."""
-    rows = names.where(F.length("seq") > 0).select("seqname", F.upper("seq").alias("seq"))
-    count = F.floor((F.length("seq") - 1) / tile)
-    cut = rows.select("seqname", "seq", F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("tile"))
-    return cut.select("seqname", "tile", F.substring("seq", (F.col("tile") * tile + 1).cast("int"), F.lit(tile)).alias("text"))
+    cut = nucleotide_tiles(names, ["seqname"], F.upper("seq"), 0, tile)
+    return cut.select("seqname", F.floor(F.col("tile_at") / tile).alias("tile"), F.col("tile_text").alias("text"))
 
 
 def alignable(reads: DataFrame, row_id: str) -> DataFrame:

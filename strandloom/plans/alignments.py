@@ -42,6 +42,13 @@ def _sum(ops: str) -> str:
 
 _MAPPED = "flags & 4 = 0 and seqname is not null and pos is not null"
 
+
+def _name_windows(k: int, table: str = "named_seqs") -> str:
+    """SQL of w (seqname, off, k): windows of the dictionary, from tiles."""
+    return f"""tiled as (select seqname, off, substr(seq, off + 1, {255 + k}) as t from (select seqname, upper(seq) as seq, unnest(range(0, length(seq), 256)) as off from {table})),
+w as (select seqname, off + i - 1 as off, substr(t, i, {k}) as k from (select seqname, off, t, unnest(range(1, length(t) - {k - 2})) as i from tiled where length(t) >= {k}) where regexp_full_match(substr(t, i, {k}), '[ACGT]+'))"""
+
+
 # flags ---------------------------------------------------------------------
 
 
@@ -166,11 +173,12 @@ def ref_join(a, n):
     return reference.with_reference(a, n).select("read_no", "seqname", "ref_length")
 
 
-@query("select a.mate_seqname as seqname, count(*) as reads from aligned_reads a anti join (select seqname from headers h join named_seqs n on h.tags['SN'] = n.seqname where h._file = 'ctl00_0001.bam') x on a.mate_seqname = x.seqname where a.mate_seqname is not null group by 1", "aligned_reads", "headers", "named_seqs")
-def ref_missing(a, h, n):
-    """Mate references that the header of one file does not declare."""
-    declared = h.where(F.col("_file") == "ctl00_0001.bam").select(F.col("tags")["SN"].alias("seqname")).join(n.select("seqname"), "seqname")
-    return reference.missing_names(a.select(F.col("mate_seqname").alias("seqname")), declared)
+@query("""select a._file, a.seqname, count(*) as reads from aligned_reads a anti join (select _file, tags['SN'] as sn from headers where record = 'SQ') h on a._file = h._file and a.seqname = h.sn
+where a.seqname is not null group by 1, 2""", "aligned_reads", "headers")
+def ref_missing(a, h):
+    """References that a file's reads use and its header does not declare."""
+    declared = h.where(F.col("record") == "SQ").select("_file", F.col("tags")["SN"].alias("seqname"))
+    return reference.missing_names(a, declared, ["_file"])
 
 
 @query("""with d as (select _file, tags['SN'] as seqname, count(*) as n, min(try_cast(tags['LN'] as bigint)) as low, max(try_cast(tags['LN'] as bigint)) as high from headers where record = 'SQ' group by 1, 2)
@@ -243,8 +251,8 @@ def pileup_consensus(a, n):
     return models.consensus(counts, ["seqname", "at_pos"])
 
 
-@query("""with w as (select substr(t, i, 3) as k from (select t, unnest(range(1, length(t) - 1)) as i from (select upper(seq) as t from named_seqs union all select reverse(translate(upper(seq), 'ACGT', 'TGCA')) from named_seqs)))
-select substr(k, 1, 2) as context, substr(k, 3, 1) as symbol, least(count(*), 100) as n from w where regexp_full_match(k, '[ACGT]+') group by 1, 2""", "named_seqs")
+@query(f"""with {_name_windows(3, "(select seqname, seq from named_seqs union all select seqname, reverse(translate(upper(seq), 'ACGT', 'TGCA')) from named_seqs)")}
+select substr(k, 1, 2) as context, substr(k, 3, 1) as symbol, least(count(*), 100) as n from w group by 1, 2""", "named_seqs")
 def genome_prior_both_strands(n):
     return models.genome_prior(n, F.col("seq"), 2)
 
@@ -253,7 +261,8 @@ def genome_prior_both_strands(n):
 
 _SEEDED = f"""reads as (select read_no, upper(seq) as t, length(seq) as n from aligned_reads where length(seq) >= 12),
 s as (select read_no, n, seed_no, off, substr(t, off + 1, 12) as w from (select *, unnest([0, 1, 2]) as seed_no, unnest([least(0, n - 12), least(24, n - 12), least(48, n - 12)]) as off from reads)),
-c as (select seqname as contig, off, w, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as kmer from (select seqname, i - 1 as off, substr(upper(seq), i, 12) as w from (select seqname, seq, unnest(range(1, length(seq) - 10)) as i from named_seqs)) where regexp_full_match(w, '[ACGT]+')),
+{_name_windows(12)},
+c as (select seqname as contig, off, k as w, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) as kmer from w),
 x as (select * from (select *, row_number() over (partition by kmer order by contig, off) as no from c) where no <= 100),
 h as (select read_no, n, seed_no, contig, s.off as ro, x.off as co, (s.w <> x.kmer) <> (x.w <> x.kmer) as turned from s join x on least(s.w, reverse(translate(s.w, 'ACGT', 'TGCA'))) = x.kmer where regexp_full_match(s.w, '[ACGT]+')),
 b as (select read_no, n, seed_no, contig, turned as reverse, case when turned then co - (n - 12 - ro) else co - ro end as begin from h),
