@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.components import components
+from strandloom.operators.graph import components
 from strandloom.session import cut, small_side
 
 _ROWS = 1024  # records hashed at once, so that the work stays in the cache
