@@ -80,6 +80,13 @@ class VoteSketch:
         return np.unique(self.candidate[self.total > 0])
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their counts."""
+    keys, at = np.unique(np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)]), return_inverse=True)
+    counts = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
+    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
+
+
 def _cells(group: str | None, sketch: VoteSketch) -> pd.DataFrame:
     layer, cell = np.nonzero(sketch.total)
     head = pd.DataFrame({"grp": [group], "layer": -1, "cell": 0, "total": sketch.rows, "candidate": 0, "surplus": 0})
@@ -107,11 +114,7 @@ def _sketch_partition(depth: int, width: int, groups_in_memory: int):
                     frames.append(_cells(group, state))
                 else:
                     rows, parts = state
-                    if parts:
-                        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                        counts = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-                    else:
-                        keys = counts = np.zeros(0, np.int64)
+                    keys, counts = _summed(parts)
                     frames.append(pd.DataFrame({"grp": [group] * (len(keys) + 1), "layer": [-1] + [-2] * len(keys), "cell": 0, "total": np.append(rows, counts), "candidate": np.append(0, keys), "surplus": 0}))
             pending.clear()
             if frames:
@@ -140,8 +143,7 @@ def _sketch_partition(depth: int, width: int, groups_in_memory: int):
                     if sum(len(p[0]) for p in state[1]) > small:
                         sketch = VoteSketch(depth, width)
                         sketch.rows = state[0]
-                        for p in state[1]:
-                            sketch.add(*p)
+                        sketch.add(*_summed(state[1]))
                         pending[name] = sketch
                 else:
                     state.add(values, counts)
@@ -178,8 +180,8 @@ def _finish(depth: int, width: int):
                     group, sketch = name, VoteSketch(depth, width)
                 sketch.rows += int(part.loc[part["layer"] == -1, "total"].sum())
                 raw = part[part["layer"] == -2]
-                if len(raw):
-                    sketch.add(raw["candidate"].to_numpy(), raw["total"].to_numpy())
+                if len(raw):  # a value may come from several partitions
+                    sketch.add(*_summed([(raw["candidate"].to_numpy(), raw["total"].to_numpy())]))
                 for layer, cells in part[part["layer"] >= 0].groupby("layer"):
                     # a cell may come from several partitions: one round for each
                     for _, once in cells.groupby(cells.groupby("cell").cumcount()):

@@ -29,7 +29,7 @@ def due_time(done: Column, tilt: Column) -> Column:
     tilt t^2 - (1 + tilt) t + done = 0 that lies in 0..1.
     """
     root = F.sqrt(F.greatest(F.lit(0.0), F.pow(1 + tilt, F.lit(2.0)) - 4 * tilt * done))
-    return F.when(F.abs(tilt) < 1e-9, done).otherwise(2 * done / ((1 + tilt) + root))
+    return F.when(F.abs(tilt) < 1e-9, done).otherwise(F.coalesce(F.try_divide(2 * done, (1 + tilt) + root), F.lit(0.0)))
 
 
 def _plan(sized: DataFrame, targets: DataFrame, source: str, size: str, budget: int | None) -> DataFrame:

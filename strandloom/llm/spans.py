@@ -210,6 +210,11 @@ def _merge_offsets(windows: DataFrame, length: int) -> DataFrame:
     ).drop("run")
 
 
+def _of_rows(contents: DataFrame, spans: DataFrame, row_id: str) -> DataFrame:
+    found = contents.select("id", "row_id").join(spans, "id")
+    return found.select(F.col("row_id").alias(row_id), "span_start", "span_end")
+
+
 def shared_spans(df: DataFrame, text: Column, row_id: str = "read_no", length: int = 48) -> DataFrame:
     """(``row_id``, ``span_start``, ``span_end``): runs of letters shared with another content.
 
@@ -226,7 +231,7 @@ def shared_spans(df: DataFrame, text: Column, row_id: str = "read_no", length: i
     several = windows.groupBy("digest").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("digest")
     hits = windows.join(several, "digest", "left_semi").select("id", "at").distinct()
     spans = _merge_offsets(hits, length)
-    return contents.select("id", F.col("row_id").alias(row_id)).join(spans, "id").select(row_id, "span_start", "span_end")
+    return _of_rows(contents, spans, row_id)
 
 
 def shared_report(df: DataFrame, text: Column, row_id: str = "read_no", length: int = 48) -> DataFrame:
@@ -257,6 +262,17 @@ def removable_spans(df: DataFrame, text: Column, row_id: str = "read_no", length
         F.min("id").alias("x"), F.max("id").alias("y"), F.min(F.struct("first_row", "at", "id")).alias("keeper")
     ).where("x < y")
     hits = windows.join(ranked.select("digest", "keeper"), "digest")
-    repeated = hits.where((F.col("keeper.id") != F.col("id")) | (F.col("keeper.at") != F.col("at"))).select("id", "at")
-    spans = _merge_offsets(repeated, length)
-    return contents.select("id", F.col("row_id").alias(row_id)).join(spans, "id").select(row_id, "span_start", "span_end")
+    kept = (F.col("keeper.id") == F.col("id")) & (F.col("keeper.at") == F.col("at"))
+    marked = hits.select("id", "at", kept.alias("kept"))
+    # Sweep over both kinds of runs: what repeats cover and no kept window does.
+    edges = None
+    for flag, repeats, keeps in ((False, 1, 0), (True, 0, 1)):
+        runs = _merge_offsets(marked.where(F.col("kept") == flag).select("id", "at"), length)
+        ends = F.array(*(F.struct(F.col(c).alias("p"), F.lit(sign * repeats).alias("r"), F.lit(sign * keeps).alias("k")) for c, sign in (("span_start", 1), ("span_end", -1))))
+        side = runs.select("id", F.inline(ends))
+        edges = side if edges is None else edges.unionByName(side)
+    order = Window.partitionBy("id").orderBy("p")
+    steps = edges.groupBy("id", "p").agg(F.sum("r").alias("r"), F.sum("k").alias("k"))
+    steps = steps.select("id", F.col("p").alias("span_start"), F.lead("p").over(order).alias("span_end"), F.sum("r").over(order).alias("r"), F.sum("k").over(order).alias("k"))
+    spans = steps.where("r > 0 and k = 0").select("id", "span_start", "span_end")
+    return _of_rows(contents, spans, row_id)
