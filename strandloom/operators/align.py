@@ -31,10 +31,10 @@ def seed_hits(reads: DataFrame, contigs: DataFrame, row_id: str, seq: Column, na
     """
     index = seed_index(contigs, name, text, k, min(SEED_CAP, HITS))
     sizes = contigs.select(F.col(name).alias("contig"), F.length(text).alias("size"))
-    mine = seeds(reads, row_id, seq, k).withColumn("n", F.length("text")).drop("text")
+    mine = seeds(reads, row_id, seq, k).withColumn("_n", F.length("text")).drop("text")
     hit = mine.withColumnRenamed("at", "read_at").join(index, "kmer").withColumn("turned", F.col("flipped") != F.col("reverse"))
-    begin = F.when(F.col("turned"), F.col("at") - (F.col("n") - k - F.col("read_at"))).otherwise(F.col("at") - F.col("read_at"))
-    placed = hit.withColumn("begin", begin).join(sizes, "contig").where((F.col("begin") >= 0) & (F.col("begin") + F.col("n") <= F.col("size")))
+    begin = F.when(F.col("turned"), F.col("at") - (F.col("_n") - k - F.col("read_at"))).otherwise(F.col("at") - F.col("read_at"))
+    placed = hit.withColumn("begin", begin).join(sizes, "contig").where((F.col("begin") >= 0) & (F.col("begin") + F.col("_n") <= F.col("size")))
     return placed.select(row_id, "seed_no", "contig", "begin", F.col("turned").alias("reverse"))
 
 

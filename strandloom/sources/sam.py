@@ -114,7 +114,8 @@ def default_header(spark: SparkSession, names: DataFrame | None = None) -> DataF
     if names is None:
         return top
     number = F.row_number().over(Window.orderBy("seqname"))
-    tags = F.create_map(F.lit("LN"), F.length("seq").cast("string"), F.lit("SN"), F.col("seqname"))
+    letters = F.length("seq") if "seq" in names.columns else F.col("length")
+    tags = F.create_map(F.lit("LN"), letters.cast("string"), F.lit("SN"), F.col("seqname"))
     return top.unionByName(names.select(F.lit("").alias("_file"), number.cast("int").alias("line_no"), F.lit("SQ").alias("record"), tags.alias("tags")))
 
 
