@@ -63,14 +63,14 @@ _LENGTH = "list_sum(list_transform(list_filter(cigar, lambda c: c.op in ('M', 'D
 
 _PERIODS = f"""
 spans as (
-  select _file, seqname, pos as b, pos + {_LENGTH} as e from aligned_reads
-  where flags & 4 = 0 and seqname is not null and pos is not null and cigar is not null and {_LENGTH} > 0
+  select _file, seqname, pos as b, pos + {_LENGTH} as e, count(*) as n from aligned_reads
+  where flags & 4 = 0 and seqname is not null and pos is not null and cigar is not null and {_LENGTH} > 0 group by all
 ),
 marked as (select *, max(e) over (partition by _file, seqname order by b, e rows between unbounded preceding and 1 preceding) as reach from spans),
 numbered as (
   select *, sum(case when reach is null or b > reach then 1 else 0 end) over (partition by _file, seqname order by b, e rows unbounded preceding) as no from marked
 ),
-periods as (select _file, seqname, no, min(b) as period_start, max(e) as period_end, count(*) as intervals from numbered group by _file, seqname, no)"""
+periods as (select _file, seqname, no, min(b) as period_start, max(e) as period_end, sum(n) as intervals from numbered group by _file, seqname, no)"""
 
 ORACLES = {
     "p4_found": f"""with {_PERIODS}, nexts as (
