@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from strandloom.functions.quality import contexts, phred
+from strandloom.functions.quality import BIN16, BIN42, DELTA_BIN, DELTA_CAP, phred
 from strandloom.operators.kmers import both_strands, kmer_rows
 
 #: Total at which adaptive counts are halved, caps of the prior tables.
@@ -27,8 +31,7 @@ def context_counts(rows: DataFrame, context: list[str], symbol: str) -> DataFram
 
 def entropy(counts: DataFrame, context: list[str], symbol: str) -> DataFrame:
     """One row (symbols, bits, bits_per_symbol): empirical conditional entropy of counts."""
-    total = counts.groupBy(*context).agg(F.sum("n").alias("_t"))
-    joined = counts.join(total, context) if context else counts.crossJoin(total)
+    joined = counts.withColumn("_t", F.sum("n").over(Window.partitionBy(*context)))  # a context has as many rows as symbols
     bits = F.sum(-F.col("n") * F.log2(F.col("n") / F.col("_t")))
     return joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"), F.coalesce(bits, F.lit(0.0)).alias("bits")).withColumn(
         "bits_per_symbol", F.when(F.col("symbols") > 0, F.col("bits") / F.col("symbols"))
@@ -91,10 +94,69 @@ def quality_pairs(df: DataFrame, qual: Column, base: int = 33, top: int = 40, ca
     return rows.groupBy("q0", "q1").agg(F.least(F.count("*"), F.lit(cap)).alias("n"))
 
 
+#: Sizes of the context parts pos4, delta, q34, q2, q1 and of the score.
+_PARTS = (4, 8, 16, 16, 42, 128)
+_NAMES = ("pos4", "delta", "q34", "q2", "q1", "q")
+
+
+def _lookup(steps: list[tuple[int, int]], size: int) -> np.ndarray:
+    table = np.zeros(size, np.int64)
+    for first, value in steps:
+        table[first:] = value
+    return table
+
+
+def _count_contexts(base: int):
+    """Per Arrow batch: every score with its context as one number, counted."""
+    bin42, bin16, delta = _lookup(BIN42, 256), _lookup(BIN16, 64), _lookup(DELTA_BIN, DELTA_CAP + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0).cast(pa.string()).drop_null()
+            _, offsets, data = column.buffers()
+            at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+            raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+            q = np.maximum(raw.astype(np.int64) - base, 0)
+            length = np.diff(at)
+            start = np.repeat(at[:-1] - at[0], length)
+            i = np.arange(len(q)) - start
+            binned = bin42[q]
+
+            def before(n: int, values: np.ndarray, i: np.ndarray = i) -> np.ndarray:
+                """The value n scores earlier in the same read, 0 before its start."""
+                out = np.zeros(len(values), np.int64)
+                out[n:] = values[:-n] if n < len(values) else 0
+                return np.where(i >= n, out, 0)
+
+            q1 = before(1, binned)
+            jump = (q1 - q < -1) | (q1 - q >= 1)
+            total = np.concatenate(([0], np.cumsum(jump)))
+            jumps = np.minimum(total[:-1] - total[start], DELTA_CAP)
+            coarse = bin16[binned]
+            quarter = np.repeat(-(-length // 4), length)
+            parts = (i // np.maximum(quarter, 1), delta[jumps], np.maximum(before(3, coarse), before(4, coarse)), before(2, coarse), q1, q)
+            code = np.zeros(len(q), np.int64)
+            for size, part in zip(_PARTS, parts, strict=True):
+                code = code * size + part
+            codes, counts = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
+
+    return run
+
+
 def quality_context_counts(df: DataFrame, qual: Column, base: int = 33) -> DataFrame:
-    """(pos4, delta, q34, q2, q1, q, n): scores counted under their model context."""
-    rows = df.select(F.inline(contexts(qual, base)))
-    return rows.groupBy("pos4", "delta", "q34", "q2", "q1", "q").agg(F.count("*").alias("n"))
+    """(pos4, delta, q34, q2, q1, q, n): scores counted under their model context.
+
+    The context is that of functions.quality.contexts; here the scores of a
+    whole Arrow batch are coded at once and only counts leave the batch.
+    """
+    coded = df.select(qual.cast("string").alias("qual")).mapInArrow(_count_contexts(base), "code long, n long")
+    counts = coded.groupBy("code").agg(F.sum("n").alias("n"))
+    out, rest = [], F.col("code")
+    for name, size in reversed(list(zip(_NAMES, _PARTS, strict=True))):
+        out.append(F.pmod(rest, F.lit(size)).cast("int").alias(name))
+        rest = F.floor(rest / size)
+    return counts.select(*reversed(out), "n")
 
 
 def genome_prior(df: DataFrame, seq: Column, k: int, cap: int = GENOME_CAP) -> DataFrame:

@@ -167,3 +167,20 @@ def pileup(fetched: DataFrame) -> DataFrame:
         )
     )
     return fetched.select("seqname", F.inline(letters)).groupBy("seqname", "at", "symbol").agg(F.count("*").alias("n"))
+
+
+def dictionary_checksum(names: DataFrame) -> DataFrame:
+    """One row (sequences, letters, crc): CRC-64 over name and upper-case letters in name order.
+
+    Sequences are hashed where they lie; one (checksum, length) pair of each is
+    combined in order.
+    """
+    from strandloom.functions.hashing import crc64_combine, hex64, row_crcs
+
+    both = names.select("seqname", F.concat("seqname", F.upper("seq")).alias("text"))
+    parts = row_crcs(both, ["seqname"], ["text"]).orderBy("seqname").collect()
+    crc = 0
+    for r in parts:
+        crc = crc64_combine(crc, r["crc_text"] & (1 << 64) - 1, r["len_text"])
+    signed = crc - (1 << 64) if crc >> 63 else crc
+    return names.agg(F.count("*").alias("sequences"), F.sum(F.length("seq")).alias("letters")).withColumn("crc", hex64(F.lit(signed)))

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar, flags, hashing, nucleotide, tags
 from strandloom.operators import align as aligner
 from strandloom.operators import archive, models, ordered, reference
+from strandloom.session import spread
 
+#: Queries that walk every letter of reads or references.
+HEAVY = {
+    "ref_diff_encode", "ref_diff_roundtrip", "mismatch_rate_by_ref", "pileup_consensus", "genome_prior_both_strands", "seed_join", "seed_extend_best",
+    "unaligned_reads", "tags_parse", "tags_text_bytes",
+}
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,7 +26,8 @@ def query(sql: str | None = None, *tables: str):
         names = tables or ("aligned_reads",)
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return make(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names))
+            scans = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names]
+            return make(*(spread(s) if make.__name__ in HEAVY else s for s in scans))
 
         run.__name__, run.__doc__ = make.__name__, make.__doc__
         QUERIES[make.__name__] = run
@@ -257,6 +264,11 @@ def genome_prior_both_strands(n):
     return models.genome_prior(n, F.col("seq"), 2)
 
 
+@query(None, "named_seqs")
+def ref_checksum(n):
+    return reference.dictionary_checksum(n)
+
+
 # seed and extend ------------------------------------------------------------
 
 _SEEDED = f"""reads as (select read_no, upper(seq) as t, length(seq) as n from aligned_reads where length(seq) >= 12),

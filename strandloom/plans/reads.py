@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from strandloom.functions import ident, nucleotide, quality
 from strandloom.functions.hashing import row_digest, stream_digest
 from strandloom.operators import kmers, models, ordered
+from strandloom.session import spread
 
+#: Queries that make many rows or long arrays of each read.
+HEAVY = {
+    "canonical_kmer_count_25", "kmer_count_saturated", "kmer_spectrum", "low_complexity_kmers", "kmer_sketch", "seed_index_12",
+    "qual_context_counts", "nt_context_counts", "nt_entropy_order_3", "nt_adaptive_bits",
+}
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FILE, ORDER = ["_file"], ["_ord", "read_no"]
@@ -21,7 +27,8 @@ def query(sql: str | None = None):
 
     def register(make):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return make(spark.read.parquet(f"{sf_dir}/raw_reads.parquet"))
+            reads = spark.read.parquet(f"{sf_dir}/raw_reads.parquet")
+            return make(spread(reads) if make.__name__ in HEAVY else reads)
 
         run.__name__, run.__doc__ = make.__name__, make.__doc__
         QUERIES[make.__name__] = run

@@ -76,3 +76,13 @@ def small_side(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES)
     """
     done = cut(df)
     return F.broadcast(done) if done.count() * row_bytes <= limit else done
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan that has fewer partitions than the cluster has cores, dealt out to all of them.
+
+    For work that is heavy for each row.  Large tables have more partitions than
+    cores and are left alone; only pass scans, not results of joins.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -156,6 +156,19 @@ def test_adaptive_bits(spark):
     assert got.keys() == expected.keys() and all(abs(got[c] - expected[c]) < 1e-6 for c in got)
 
 
+def test_quality_contexts_agree(spark):
+    """Counting by batch gives what the row expression gives."""
+    from strandloom.functions.quality import contexts
+
+    random.seed(10)
+    rows = [("".join(chr(33 + random.choice([2, 20, 35, 36, 38, 41, 60])) for _ in range(random.randrange(0, 90))),) for _ in range(60)] + [(None,), ("",), ("I" * 3,)]
+    df = spark.createDataFrame(rows, "code string").repartition(3)
+    by_row = df.select(F.inline(contexts("code"))).groupBy("pos4", "delta", "q34", "q2", "q1", "q").agg(F.count("*").alias("n"))
+    got = models.quality_context_counts(df, F.col("code"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in by_row.collect()}
+    assert models.quality_context_counts(df.where("false"), F.col("code")).count() == 0
+
+
 def test_graph_parts(spark):
     chain = [(i, i // 2) for i in range(200)] + [(i, 1000 + (i + 1) // 2) for i in range(200)] + [(900, 77777)]
     got = {r["i"]: r["part"] for r in graph.connected(spark.createDataFrame(chain, "i long, l long"), "i", "l").collect()}
@@ -209,6 +222,20 @@ def test_reference_checks(spark):
         reference.with_reference(reads, b, strict=True).collect()
 
 
+def test_dictionary_checksum(spark):
+    from strandloom.functions.hashing import crc64
+
+    names = spark.createDataFrame([("b", "acgt"), ("a", "GG")], "seqname string, seq string")
+    row = reference.dictionary_checksum(names).first()
+    assert tuple(row) == (2, 6, f"{crc64(b'aGGbACGT'):016x}")
+
+
+def test_entropy(spark):
+    counts = spark.createDataFrame([("x", "A", 2), ("x", "C", 2), ("y", "A", 5)], "context string, symbol string, n long")
+    assert tuple(models.entropy(counts, ["context"], "symbol").first()) == (9, 4.0, 4 / 9)
+    assert models.entropy(counts.drop("context"), [], "symbol").first()["symbols"] == 9
+
+
 def test_alignment_finds_planted_reads(spark):
     random.seed(3)
     contigs = {f"c{i}": "".join(random.choices("ACGT", k=500)) for i in range(3)}
