@@ -39,10 +39,10 @@ def _plan(sized: DataFrame, targets: DataFrame, source: str, size: str, budget:
         F.col("source").alias(source), F.col("target_share").cast("double").alias("target_share"),
         F.coalesce("max_repeats", F.lit(1)).cast("long").alias("max_repeats"), F.coalesce("tilt", F.lit(0.0)).alias("tilt"),
     ).where("target_share > 0 and max_repeats > 0").join(have, source, "left").fillna(0, ["tokens"])
-    # The total that every source can serve at its share within its repeats.
-    limit = plan.agg(F.min(F.floor(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).alias("total"))
-    total = F.col("total") if budget is None else F.least("total", F.lit(int(budget)))
-    return plan.crossJoin(limit).withColumn("demand", total * F.col("target_share")).drop("total")
+    # The total that every source can serve at its share within its repeats: one window over the few sources.
+    limit = F.min(F.floor(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).over(Window.partitionBy())
+    total = limit if budget is None else F.least(limit, F.lit(int(budget)))
+    return plan.withColumn("total", total).withColumn("demand", F.col("total") * F.col("target_share")).drop("total")
 
 
 def mix(
@@ -97,7 +97,6 @@ def in_training_order(draws: DataFrame, row_id: str = "doc_id") -> DataFrame:
 def shares(draws: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
     """(source, target_share, tokens, share, most_repeats) for every target source."""
     per = draws.groupBy(source).agg(F.sum("n_tokens").alias("tokens"), F.max("repeat_no").alias("most_repeats"))
-    total = per.agg(F.sum("tokens").alias("total"))
-    return targets.select(F.col("source").alias(source), "target_share").join(per, source, "left").fillna(0, ["tokens", "most_repeats"]).crossJoin(total).select(
-        source, "target_share", "tokens", (F.col("tokens") / F.col("total")).alias("share"), "most_repeats"
-    )
+    known = targets.select(F.col("source").alias(source), "target_share").join(per, source, "left").fillna(0, ["tokens", "most_repeats"])
+    total = F.sum("tokens").over(Window.partitionBy())
+    return known.select(source, "target_share", "tokens", F.when(total > 0, F.col("tokens") / total).otherwise(0.0).alias("share"), "most_repeats")

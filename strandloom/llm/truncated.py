@@ -108,9 +108,9 @@ with grams as (
 ), base as (
   select (select sum(c) from tails) / greatest((select sum(n) from grams), 1) as p
 ), lifted as (
-  select /*+ broadcast(base) */ tail,
-    (e3 + {prior!r} * (e2 + {prior!r} * (e1 + {prior!r} * p) / (n1 + {prior!r})) / (n2 + {prior!r})) / (n3 + {prior!r}) / p as lift
-  from judged cross join base
+  select tail,
+    (e3 + {prior!r} * (e2 + {prior!r} * (e1 + {prior!r} * (select p from base)) / (n1 + {prior!r})) / (n2 + {prior!r})) / (n3 + {prior!r}) / (select p from base) as lift
+  from judged
 )
 select e.row_id, coalesce(lift < {rate!r}, false) as truncated, lift from {ends} e left join lifted l on e.tail = l.tail and e.tokens is not null
 """
