@@ -8,7 +8,8 @@ trigrams recur.  All trigrams are counted inside texts, the last ones also as
 ends.  A text is flagged if its last trigram ends texts of another ending (the
 last 80 letters) less than ``rate`` times as often as an average token does.  The rate of a
 rare trigram leans on that of its last two tokens, and theirs on the last one,
-with the weight of ``prior`` occurrences.  Half a mark at the end, such as one
+with the weight of ``prior`` occurrences.  A whole sentence or line of markup at
+the end is no cut by definition, however rare.  Half a mark at the end, such as one
 bracket of two, or the beginning of a frequent word is left out of the ending.
 
 Everything is SQL: the two counts are ordinary aggregations with partial sums,
@@ -55,15 +56,24 @@ select t from words where n >= (select sum(n) from words) * {share!r} order by t
 """
 
 
+#: A sentence that ends after a word of four letters, a number or a closing mark,
+#: or a last line that is a whole template, heading, table end, comment or link.
+_WHOLE = (
+    r"(?:(?:\\p{L}{4,}|[0-9]{2,}|\\]\\]|\\)|>|\x27\x27)[.!?][\"”»]?|"
+    r"(?:^|\n)(?:\\{\\{[^{}\n]*\\}\\}|\\}\\}|={2,}[^=\n]+={2,}|\\|\\}|<!--[^\n]*-->|\\[\\[[^\\[\\]\n]*\\]\\]))$"
+)
+
+
 def ends_sql(table: str, row_id: str, text: str) -> str:
-    """SQL of (row_id, tail, tokens): the last four tokens of each text, and a hash of its last 80 letters.
+    """SQL of (row_id, tail, whole, tokens): the last four tokens of each text, a hash of its last 80 letters, and
+    whether it ends with a whole sentence or line of markup.
 
     A text that ends in more blanks than are looked at is trimmed first.
     """
     end = f"right(`{text}`, {_END})"
     kept = f"regexp_replace(if(trim('\\n\\r\\t ' from {end}) = '', right(rtrim('\\n\\r\\t ', `{text}`), {_END}), {end}), '{_TAIL}', '')"
     return f"""
-select row_id, xxhash64(right(t, 80)) as tail, if(size(tokens) > 0, slice(concat(array('^', '^', '^'), tokens), -4, 4), null) as tokens from (
+select row_id, xxhash64(right(t, 80)) as tail, t rlike '{_WHOLE}' as whole, if(size(tokens) > 0, slice(concat(array('^', '^', '^'), tokens), -4, 4), null) as tokens from (
   select row_id, t, regexp_extract_all(t, '{_TOKEN}', 0) as tokens from (select `{row_id}` as row_id, {kept} as t from {table}))
 """
 
@@ -112,7 +122,7 @@ with grams as (
     (e3 + {prior!r} * (e2 + {prior!r} * (e1 + {prior!r} * (select p from base)) / (n1 + {prior!r})) / (n2 + {prior!r})) / (n3 + {prior!r}) / (select p from base) as lift
   from judged
 )
-select e.row_id, coalesce(lift < {rate!r}, false) as truncated, lift from {ends} e left join lifted l on e.tail = l.tail and e.tokens is not null
+select e.row_id, coalesce(lift < {rate!r} and not whole, false) as truncated, lift from {ends} e left join lifted l on e.tail = l.tail and e.tokens is not null
 """
 
 
