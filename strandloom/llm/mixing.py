@@ -32,17 +32,32 @@ def due_time(done: Column, tilt: Column) -> Column:
     return F.when(F.abs(tilt) < 1e-9, done).otherwise(F.coalesce(F.try_divide(2 * done, (1 + tilt) + root), F.lit(0.0)))
 
 
-def _plan(sized: DataFrame, targets: DataFrame, source: str, size: str, budget: int | None) -> DataFrame:
-    """One row per source: tokens, demand; small, as it has no more rows than targets."""
+#: Sources that together hold at most this part of the target shares may fall short of them without holding the total down.
+SHORT_SHARE = 0.1
+
+
+def _plan(sized: DataFrame, targets: DataFrame, source: str, size: str, budget: int | None, short_share: float) -> DataFrame:
+    """One row per source that has tokens: tokens, demand; small, as it has no more rows than targets.
+
+    The windows hold these few rows, sorted by the total that a source can serve at its share within its repeats.
+    """
     have = sized.where(F.col(size) > 0).groupBy(source).agg(F.sum(size).alias("tokens"))
     plan = targets.select(
         F.col("source").alias(source), F.col("target_share").cast("double").alias("target_share"),
         F.coalesce("max_repeats", F.lit(1)).cast("long").alias("max_repeats"), F.coalesce("tilt", F.lit(0.0)).alias("tilt"),
-    ).where("target_share > 0 and max_repeats > 0").join(have, source, "left").fillna(0, ["tokens"])
-    # The total that every source can serve at its share within its repeats: one window over the few sources.
-    limit = F.min(F.floor(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).over(Window.partitionBy())
-    total = limit if budget is None else F.least(limit, F.lit(int(budget)))
-    return plan.withColumn("total", total).withColumn("demand", F.col("total") * F.col("target_share")).drop("total")
+    ).where("target_share > 0 and max_repeats > 0").join(have, source)
+    most, limit = F.col("tokens") * F.col("max_repeats"), F.col("most") / F.col("target_share")
+    plan = plan.withColumn("most", most).withColumn("limit", limit)
+    every, upto = Window.partitionBy(), Window.partitionBy().orderBy("limit", source).rowsBetween(Window.unboundedPreceding, 0)
+    known = plan.withColumn("all_shares", F.sum("target_share").over(every)).withColumn("short", F.sum("target_share").over(upto))
+    known = known.withColumn("before", F.sum("most").over(upto) - F.col("most"))
+    total = F.min(F.when(F.col("short") > short_share * F.col("all_shares"), F.col("limit"))).over(every)
+    if budget is not None:
+        # Where the sources before have given all they have, the rest of the budget falls to this one and those after it.
+        needed = (F.lit(float(budget)) - F.col("before")) / (F.col("all_shares") - F.col("short") + F.col("target_share"))
+        total = F.least(total, F.max(needed).over(every))
+    demand = F.least(F.col("most").cast("double"), F.col("total") * F.col("target_share"))
+    return known.withColumn("total", total).withColumn("demand", demand).select(source, "max_repeats", "tilt", "tokens", "demand")
 
 
 def mix(
@@ -54,21 +69,27 @@ def mix(
     budget: int | None = None,
     seed: int = 1,
     buckets: int = 256,
+    short_share: float = SHORT_SHARE,
 ) -> DataFrame:
     """(row_id, source, repeat_no, n_tokens, due): the draws of the mixture.
 
     ``targets`` has source (unique), target_share, max_repeats and optionally
-    tilt in -1..1, the fall of the source's weight over time.  The total is the
-    largest that all sources can serve, or ``budget`` if that is less.  A
-    document is drawn if its middle token falls within its source's demand, so
-    the share reached is off by at most half a document.  ``repeat_no`` counts
+    tilt in -1..1, the fall of the source's weight over time.  A source that
+    cannot reach its share gives all it has, max_repeats times, and one without
+    tokens nothing; the others are drawn in their target proportions.  The total
+    these are held to is the largest at which the sources that fall short hold
+    at most ``short_share`` of the target shares of all sources with tokens (0:
+    the largest that all of them can serve), or what makes all draws together
+    ``budget`` if that is less.  A document is drawn if its middle token falls
+    within its source's demand, so the tokens of a source are off by at most
+    half a document.  ``repeat_no`` counts
     from 1 and never exceeds max_repeats.  Documents without tokens, of a null
     source, or of a source without target are not drawn; repeated row ids are
     separate documents.
     """
     if "tilt" not in targets.columns:
         targets = targets.withColumn("tilt", F.lit(0.0))
-    plan = cut(_plan(sized, targets, source, size, budget))
+    plan = cut(_plan(sized, targets, source, size, budget, short_share))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(buckets)).cast("int")
     rows = sized.where((F.col(size) > 0) & F.col(source).isNotNull()).select(row_id, source, F.col(size).cast("long").alias("n"), bucket.alias("bucket"))
     rows = cut(rows)
@@ -95,8 +116,13 @@ def in_training_order(draws: DataFrame, row_id: str = "doc_id") -> DataFrame:
 
 
 def shares(draws: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
-    """(source, target_share, tokens, share, most_repeats) for every target source."""
+    """(source, target_share, tokens, share, shortfall, most_repeats) for every target source.
+
+    ``shortfall`` is what the share reached lacks of the target share, or 0.
+    """
     per = draws.groupBy(source).agg(F.sum("n_tokens").alias("tokens"), F.max("repeat_no").alias("most_repeats"))
     known = targets.select(F.col("source").alias(source), "target_share").join(per, source, "left").fillna(0, ["tokens", "most_repeats"])
     total = F.sum("tokens").over(Window.partitionBy())
-    return known.select(source, "target_share", "tokens", F.when(total > 0, F.col("tokens") / total).otherwise(0.0).alias("share"), "most_repeats")
+    known = known.withColumn("share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))
+    shortfall = F.greatest(F.lit(0.0), F.col("target_share") - F.col("share")).alias("shortfall")
+    return known.select(source, "target_share", "tokens", "share", shortfall, "most_repeats")

@@ -397,6 +397,21 @@ def test_mix(spark):
     assert mixing.mix(df.where("false"), targets).count() == 0
 
 
+def test_mix_with_absent_and_tiny_sources(spark):
+    docs = [(n, s, 10) for n, s in enumerate(["a"] * 600 + ["b"] * 900 + ["tiny"] * 2)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    rows = [("a", 0.5, 1), ("b", 0.35, 1), ("tiny", 0.05, 3), ("absent", 0.1, 4)]
+    targets = spark.createDataFrame(rows, "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in mixing.shares(mixing.mix(df, targets), targets).collect()}
+    assert {s: r["tokens"] for s, r in got.items()} == {"a": 6000, "b": 4200, "tiny": 60, "absent": 0}
+    assert got["tiny"]["most_repeats"] == 3 and got["absent"]["shortfall"] == 0.1 and got["a"]["shortfall"] == 0
+    assert abs(got["tiny"]["shortfall"] - (0.05 - 60 / 10260)) < 1e-9
+    small = {r["source"]: r["tokens"] for r in mixing.shares(mixing.mix(df, targets, budget=5160), targets).collect()}
+    assert small == {"a": 3000, "b": 2100, "tiny": 60, "absent": 0}
+    held = mixing.mix(df, targets, short_share=0).groupBy("source").agg(F.sum("n_tokens")).collect()
+    assert {r[0]: r[1] for r in held} == {"a": 600, "b": 420, "tiny": 60}
+
+
 # truncation ----------------------------------------------------------------------------------
 
 
