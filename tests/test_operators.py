@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -265,3 +266,26 @@ def test_contigs_cover_the_genome(spark):
     reads = spark.createDataFrame([(i, genome[s : s + 80]) for i, s in enumerate(range(0, 521, 5))] + [(999, None), (998, "ACGT")], "n long, seq string")
     longest = max((r["seq"] for r in assembly.assemble(reads, "n", F.col("seq"), k=25).collect()), key=len)
     assert len(longest) >= 500 and (longest in genome or turned(longest) in genome)
+
+
+
+def test_contigs_of_all_seeds_equal_one_fold(spark):
+    random.seed(6)
+    letters = lambda n: "".join(random.choices("ACGT", k=n))
+    g, h, alone = letters(400), letters(400), letters(230)
+    # Rows come before the reads they need: an N inside, a first k-mer that is single, two genomes in one seed.
+    seqs = [g[0:40] + "N" + g[41:90], letters(20) + g[100:160], g[200:240] + "N" + h[200:240], h[300:360] + letters(20), alone, "N" + g[:60], g[300:360] + "R"]
+    seqs += [x[s : s + 60].lower() if s % 20 else turned(x[s : s + 60]) for x in (g, h) for s in range(0, 341, 10)] + [None, "ACGT"]
+    k, counts = 25, Counter()
+    for s in filter(None, seqs):
+        counts.update(assembly._canon(w) for w in (s.upper()[i : i + k] for i in range(len(s) - k + 1)) if set(w) <= set("ACGT"))
+    state, want = assembly.Counts({w: n for w, n in counts.items() if n >= 2}), {}
+    for n, s in enumerate(seqs):
+        if s and len(s) >= k and set(s.upper()[:k] + s.upper()[-k:]) <= set("ACGT"):
+            contig = assembly.grow(state, s.upper(), k)
+            if len(contig) >= 200:
+                want[n] = contig
+    reads = spark.createDataFrame(list(enumerate(seqs)), "n long, seq string")
+    got = assembly.assemble(reads, "n", F.col("seq"), k=k).collect()
+    assert {r["contig"]: r["seq"] for r in got} == want and len(got) == len(want)
+    assert {0, 2, 4} <= set(want) and "N" in want[2] and not {5, 6} & set(want)
