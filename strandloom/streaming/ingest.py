@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +28,31 @@ def stream_table(spark: SparkSession, folder: str, schema: str | StructType, fil
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+#: Rows of a part file at most, so that a micro-batch of 16 of them is bounded whatever the table's size.
+PART_ROWS = 20_000
+
+
+def write_in_order(reads: DataFrame, folder: str, order: list[str], rows: int = PART_ROWS) -> None:
+    """Parquet part files of ``rows`` rows at most, sorted by ``order``, that a stream takes up in this order.
+
+    A file stream takes files by their modification time, and parallel tasks end
+    in any order: the times are set anew by name.  A file system that does not
+    keep them is an error.
+    """
+    reads.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows).parquet(folder)
+    jvm = reads.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(reads.sparkSession._jsc.hadoopConfiguration())
+    parts = [x for x in fs.listStatus(path) if x.getPath().getName().startswith("part-")]
+    # part-<task>-<job>-c<number in the task>: beyond 999 files a task, names do not sort by number.
+    parts.sort(key=lambda x: tuple(int(n) for n in re.fullmatch(r"part-(\d+)-.*?c(\d+)\..*", x.getPath().getName()).groups()))
+    start = max((x.getModificationTime() for x in parts), default=0) - 10 * len(parts)
+    for i, x in enumerate(parts):
+        fs.setTimes(x.getPath(), start + 10 * i, -1)
+        if fs.getFileStatus(x.getPath()).getModificationTime() != start + 10 * i:
+            raise OSError(f"{folder}: modification times cannot be set")
+
+
 def windowed_counts(stream: DataFrame, at: str = "loaded_at", late: str = "1 hour", size: str = "1 hour") -> DataFrame:
     """Reads and bases per file and arrival window; later arrivals than ``late`` are dropped by the watermark."""
     return (
@@ -56,8 +82,9 @@ def _delta(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def identifier_matches(stream: DataFrame) -> DataFrame:
     """(_file, read_no, matches, tokens): how much of each identifier repeats the one before.
 
-    State is one identifier a file.  Within a micro-batch rows are ordered; a
-    file's micro-batches must arrive in order.
+    State is one identifier a file.  Within a micro-batch rows are ordered, all
+    of a file in one task; a file's micro-batches must arrive in order, as those
+    of ``write_in_order`` do.
     """
     rows = stream.select("_file", "_ord", "read_no", ident.tokens("id").alias("tokens"))
     return rows.groupBy("_file").applyInPandasWithState(_delta, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)

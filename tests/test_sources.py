@@ -180,6 +180,32 @@ def test_stream_state_spans_batches(spark, tmp_path):
     assert len(got) == 4 and sum(m == 0 for m, _ in got.values()) == 1
 
 
+def test_stream_ingest_follows_the_order_of_the_reads(spark, tmp_path):
+    from strandloom.plans import formats
+    from strandloom.streaming import ingest
+
+    # 40 part files whose rows of two files interleave; neighbours in _ord are often equal.
+    rows = [(n, "fg"[n % 2], n * 37 % 200, f"run.{n * 37 % 200 // 5} lane") for n in range(200)]
+    spark.createDataFrame(rows, "read_no long, _file string, _ord long, id string").repartition(40, "_ord").write.parquet(str(tmp_path / "raw_reads.parquet"))
+    want, before = {}, {}
+    for n, file, _, name in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        want[n] = sum(a == b for a, b in zip([name.split()[0], name.split()[1]], before.get(file, [None] * 2), strict=True))
+        before[file] = name.split()
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        got = formats.stream_ingest(spark, str(tmp_path)).collect()
+        table = spark.read.parquet(str(tmp_path / "raw_reads.parquet"))
+        ingest.write_in_order(table, str(tmp_path / "in"), ["_file", "_ord", "read_no"], rows=20)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    stream = ingest.stream_table(spark, str(tmp_path / "in"), table.schema, files_per_trigger=2)
+    ingest.to_table(ingest.identifier_matches(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    small = spark.read.parquet(str(tmp_path / "out")).collect()
+    # Equal identifiers match in all tokens: as many reads do so as neighbours in order are equal.
+    for found in (got, small):
+        assert {r["read_no"]: r["matches"] == r["tokens"] for r in found} == {n: m == 2 for n, m in want.items()}
+
+
 def test_stream_windows(spark, tmp_path):
     from strandloom.streaming import ingest
 
