@@ -45,7 +45,7 @@ class Side:
         )
 
 
-def join_aggregate(left: Side, right: Side, how: str = "inner", count: str = "rows") -> DataFrame:
+def join_aggregate(left: Side, right: Side, how: str = "inner", count: str = "rows", own: tuple[str, str] | None = None) -> DataFrame:
     """Group the join of both sides by their output keys.
 
     Output: the groups of both sides, ``count`` (joined rows), their sums and
@@ -53,6 +53,9 @@ def join_aggregate(left: Side, right: Side, how: str = "inner", count: str = "ro
     "left": then left rows without partner count once, with null right groups
     and values.  Null join keys match nothing.  Sums of no non-null value are
     null; an empty input gives an empty result.  Output names must differ.
+    ``own`` names two more outputs: how many rows each side itself brings to a
+    group (a right row joined from several states of the left side counts for
+    each of them).
     """
     if how not in ("inner", "left") or set(left.keys) != set(right.keys):
         raise ValueError("how must be inner or left, and both sides need the same keys")
@@ -61,6 +64,7 @@ def join_aggregate(left: Side, right: Side, how: str = "inner", count: str = "ro
     groups = [F.col(f"g_{n}").alias(n) for n in (*left.groups, *right.groups)]
     return joined.groupBy(*groups).agg(
         F.sum(F.col("n_a") * F.col("n_b")).alias(count),
+        *(F.sum(n).alias(name) for n, name in zip(("n_a", "n_b"), own or (), strict=False)),
         *(F.sum(F.col(f"s_{n}") * F.col("n_b")).alias(n) for n in left.sums),
         *(F.sum(F.col(f"s_{n}") * F.col("n_a")).alias(n) for n in right.sums),
         *(getattr(F, f)(f"x_{n}").alias(n) for side in (left, right) for n, (f, _) in side.extremes.items()),
@@ -70,13 +74,14 @@ def join_aggregate(left: Side, right: Side, how: str = "inner", count: str = "ro
 def heavy_keys(df: DataFrame, group: str, key: str, share: float) -> DataFrame:
     """(group, key, rows, group_rows): keys with at least ``share`` of their group's rows with a key.
 
-    The table is joined with itself by group, both sides reduced to states: one
-    side counts by key, the other the whole group.  Null keys do not count; a
-    null group is left out.
+    The table is joined with itself by group through :func:`join_aggregate`: one
+    side's states count the rows of each key, the other's those of the whole
+    group, so a group of n rows costs one state a key instead of n * n pairs.
+    Null keys do not count; a null group is left out.
     """
     rows = df.where(F.col(key).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"))
-    counts = Side(rows, {"g": F.col("g")}, {"name": F.col("k"), "of": F.col("g")})
-    totals = Side(rows, {"g": F.col("g")}, extremes={}, sums={})
-    a, b = counts.states("a"), totals.states("b")
-    joined = a.join(b, "k_g").where(F.col("n_a") / F.col("n_b") >= F.lit(share))
-    return joined.select(F.col("g_of").alias(group), F.col("g_name").alias(key), F.col("n_a").alias("rows"), F.col("n_b").alias("group_rows"))
+    keys = Side(rows, {"group": F.col("g")}, {"of": F.col("g"), "name": F.col("k")})
+    whole = Side(rows, {"group": F.col("g")})
+    joined = join_aggregate(keys, whole, count="pairs", own=("mine", "all"))
+    heavy = joined.where(F.col("mine") / F.col("all") >= F.lit(share))
+    return heavy.select(F.col("of").alias(group), F.col("name").alias(key), F.col("mine").alias("rows"), F.col("all").alias("group_rows"))

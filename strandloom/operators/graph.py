@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import cut
+from strandloom.session import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     )
     before = None
     for _ in range(most_rounds):
-        edges = cut(_star(_star(edges, large=True), large=False))
+        last, edges = edges, cut(_star(_star(edges, large=True), large=False))
+        discard(last)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == before:
             done = edges.select(F.col("a").alias("id"), F.col("b").alias("part"))

@@ -4,9 +4,9 @@ An interval becomes a session that starts at its begin and whose gap duration is
 its own length, so that Spark's session_window merges overlapping ones.  Each
 entity's axis is cut into tiles of ``tile`` positions by the interval's begin:
 sessions are merged inside a tile only, so an entity that holds a third of all
-rows is spread over its tiles.  Equal intervals are combined in each input
-partition before they are shuffled: what a tile can receive from a partition is
-bounded by its positions times the distinct lengths, not by its rows.  A
+rows is spread over its tiles.  Sessions that overlap are merged in each input
+partition before they are shuffled, so a tile receives from a partition only
+periods that do not overlap: fewer than it has positions, whatever the depth.  A
 running maximum of ends over the few tile summaries tells each tile how far the
 tiles before it reach; touching and tile-crossing periods are united with it and
 gaps follow from ``lead``.
@@ -32,6 +32,8 @@ def _tiled(df: DataFrame, keys: list[str], begin: Column, end: Column, tile: int
     names = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), begin.cast("long").alias("_b"), end.cast("long").alias("_e"))
     rows = rows.where("_b < _e").withColumn("_tile", F.floor(F.col("_b") / tile))
+    # Overlapping sessions of a tile unite inside each input partition, before the shuffle.
+    df.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     # one position is one microsecond
     at = F.timestamp_micros("_b")
     length = F.expr("make_interval(0, 0, 0, 0, 0, 0, cast((_e - _b) as decimal(18, 0)) / 1000000BD)")

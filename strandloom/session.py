@@ -1,11 +1,11 @@
-"""Session helpers: recommended settings, lineage cuts, checked broadcasts."""
+"""Session helpers: recommended settings and lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Settings every operator is written for.  Adaptive execution splits skewed
 #: join partitions and coalesces small ones; local session merging combines
@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -46,36 +47,44 @@ def local_session(cores: str = "8", app: str = "strandloom", memory: str = "8g",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    and no folder was given to the context (tests, a laptop) a temporary one is
-    created.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset and no
+    folder was given to the context, a temporary one is created for a local
+    master (tests, a laptop); on a cluster that is an error, as no executor
+    could read it.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-")
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        current = current or tempfile.mkdtemp(prefix="strandloom-")
         context.setCheckpointDir(current)
     return current
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the shared folder and forget its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as a table in the shared folder, and read from there.
 
-
-#: A side is broadcast only if its counted rows times its row width stay below this.
-BROADCAST_BYTES = 32 << 20
-
-
-def small_side(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` cut and counted; marked for broadcast only if it is small enough.
-
-    Beyond ``limit`` the frame is returned unmarked and the join shuffles, with
-    adaptive skew handling.
+    The plan behind it is forgotten, so a lost executor repeats no more than the
+    stage it worked on.  Tables are columnar and compressed; a reader fetches
+    only the columns it needs.  :func:`discard` removes one.
     """
-    done = cut(df)
-    return F.broadcast(done) if done.count() * row_bytes <= limit else done
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/strandloom-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    done = spark.read.schema(df.schema).parquet(folder)
+    done._strandloom_table = folder
+    return done
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that :func:`cut` returned; nothing may read it later."""
+    folder = getattr(df, "_strandloom_table", None)
+    if folder:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:
