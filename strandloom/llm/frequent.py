@@ -12,7 +12,8 @@ of at least that share is found in one of the independent rows.
 Memory is bounded: ``groups_in_memory * depth * width`` cells of 24 bytes a task.
 A hot group is sketched inside every input partition before anything is
 shuffled; what a partition sends for a group is never more than the smaller of
-its distinct values and the sketch.
+its distinct values and the sketch.  Cells of different partitions are merged by
+(group, layer, cell), never by group, so a group is no task's.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import small_side
+from strandloom.session import cut
 
 _CELLS = "grp string, layer int, cell int, total long, candidate long, surplus long"
 
@@ -153,43 +154,28 @@ def _sketch_partition(depth: int, width: int, groups_in_memory: int):
     return run
 
 
-def _finish(depth: int, width: int):
-    """Merge what all partitions sent for a group; input is sorted by group."""
+def _cell(depth: int, width: int, key: str) -> Column:
+    """(layer, cell) of a key in every layer, as VoteSketch.cell_of has them."""
+    step = width.bit_length() - 1
+    layers = [F.struct(F.lit(i).alias("layer"), F.shiftrightunsigned(key, i * step).bitwiseAND(F.lit(width - 1)).cast("int").alias("cell")) for i in range(depth)]
+    return F.array(*layers)
 
-    def report(group, sketch: VoteSketch) -> pa.RecordBatch:
-        keys = sketch.candidates()
-        low, high = sketch.bounds(keys)
-        n = len(keys)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([group] * n, pa.string()), pa.array(keys), pa.array(low), pa.array(high), pa.array(np.full(n, sketch.rows, np.int64))],
-            ["grp", "candidate", "low", "high", "group_rows"],
-        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, sketch = None, None
-        for batch in batches:
-            pdf = batch.to_pandas()
-            codes, names = pd.factorize(pdf["grp"], use_na_sentinel=False)
-            for code in pd.unique(codes):
-                name = names[code]
-                name = None if pd.isna(name) else name
-                part = pdf[codes == code]
-                if sketch is None or name != group:
-                    if sketch is not None:
-                        yield report(group, sketch)
-                    group, sketch = name, VoteSketch(depth, width)
-                sketch.rows += int(part.loc[part["layer"] == -1, "total"].sum())
-                raw = part[part["layer"] == -2]
-                if len(raw):  # a value may come from several partitions
-                    sketch.add(*_summed([(raw["candidate"].to_numpy(), raw["total"].to_numpy())]))
-                for layer, cells in part[part["layer"] >= 0].groupby("layer"):
-                    # a cell may come from several partitions: one round for each
-                    for _, once in cells.groupby(cells.groupby("cell").cumcount()):
-                        sketch.merge(int(layer), *(once[c].to_numpy() for c in ("cell", "total", "candidate", "surplus")))
-        if sketch is not None:
-            yield report(group, sketch)
+def merged_cells(parts: DataFrame, depth: int, width: int) -> DataFrame:
+    """(grp, layer, cell, total, candidate, surplus): the cells of all partitions, merged.
 
-    return run
+    Votes of one candidate add up, and each vote for another candidate cancels
+    one of the strongest.  Both steps are sums by cell that Spark reduces in
+    every partition first, so cells of one group are merged all over the cluster.
+    ``layer`` -1 carries the number of rows of the group.
+    """
+    values = parts.where("layer = -2").select("grp", F.inline(_cell(depth, width, "candidate")), "total", "candidate", F.col("total").alias("surplus"))
+    votes = parts.where("layer <> -2").unionByName(values)
+    by_candidate = votes.groupBy("grp", "layer", "cell", "candidate").agg(F.sum("total").alias("total"), F.sum("surplus").alias("surplus"))
+    strongest = F.max(F.struct("surplus", "candidate"))
+    cells = by_candidate.groupBy("grp", "layer", "cell").agg(F.sum("total").alias("total"), strongest.alias("top"), F.sum("surplus").alias("votes"))
+    left = F.greatest(F.lit(0).cast("long"), 2 * F.col("top.surplus") - F.col("votes"))
+    return cells.select("grp", "layer", "cell", "total", F.col("top.candidate").alias("candidate"), left.alias("surplus"))
 
 
 def frequent_candidates(
@@ -213,27 +199,60 @@ def frequent_candidates(
         raise ValueError("width must be a power of two and depth * log2(width) at most 64")
     rows = df.select(group.cast("string").alias("grp"), F.when(value.isNotNull(), F.xxhash64(value)).alias("key"))
     parts = rows.mapInArrow(_sketch_partition(depth, width, groups_in_memory), _CELLS)
-    merged = parts.repartition("grp").sortWithinPartitions("grp").mapInArrow(
-        _finish(depth, width), "grp string, candidate long, low long, high long, group_rows long"
+    cells = cut(merged_cells(parts, depth, width))  # depth * width rows for each group at most
+    sizes = cells.where("layer = -1").select(F.col("grp").alias("g"), F.col("total").alias("group_rows"))
+    body = cells.where("layer >= 0").withColumn("most", F.floor((F.col("total") + F.col("surplus")) / 2))
+    reaches = lambda high: (F.col(high) / F.col("group_rows") >= F.lit(share)) & (F.col(high) >= least)
+    strong = body.join(sizes, F.col("grp").eqNullSafe(F.col("g"))).where(reaches("most")).select("grp", "candidate", "group_rows").distinct()
+    asked = strong.select(F.col("grp").alias("g"), F.col("candidate").alias("c"), "group_rows", F.inline(_cell(depth, width, "candidate")))
+    here = body.join(asked, F.col("grp").eqNullSafe(F.col("g")) & (body["layer"] == asked["layer"]) & (body["cell"] == asked["cell"]))
+    own = F.col("candidate") == F.col("c")
+    bounds = here.groupBy("grp", "c", "group_rows").agg(
+        F.max(F.when(own, F.col("surplus")).otherwise(0)).alias("low"),
+        F.min(F.when(own, F.col("most")).otherwise(F.floor((F.col("total") - F.col("surplus")) / 2))).alias("high"),
     )
-    return merged.where((F.col("high") / F.col("group_rows") >= F.lit(share)) & (F.col("high") >= least))
+    return bounds.where(reaches("high")).select("grp", F.col("c").alias("candidate"), "low", "high", "group_rows")
+
+
+#: Bytes of candidates, at 64 a row, up to which they are sent to every task.
+BROADCAST_BYTES = 32 << 20
+
+
+def _rows_of(df: DataFrame, value: Column, group: Column, found: DataFrame, limit: int) -> DataFrame:
+    """(g, v, rows, low, high, group_rows): the candidates' values with their exact counts.
+
+    Values of equal hash are told apart by their counts, which are by value.
+    Candidates are fewer than depth / share a group; beyond ``limit`` bytes of
+    them all values are counted and the counts joined.
+    """
+    rows = df.select(group.cast("string").alias("g"), value.alias("v")).where("v is not null")
+    on = F.col("g").eqNullSafe(F.col("grp")) & (F.xxhash64("v") == F.col("candidate"))
+    if found.count() * 64 > limit:
+        return rows.groupBy("g", "v").agg(F.count("*").alias("rows")).join(found, on).drop("grp", "candidate")
+    bounds = ("low", "high", "group_rows")
+    return rows.join(F.broadcast(found), on).groupBy("g", "v").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in bounds))
+
+
+def frequent_bounds(df: DataFrame, value: Column, group: Column, share: float, least: int = 1, limit: int = BROADCAST_BYTES, **sketch: int) -> DataFrame:
+    """(grp, value, low, high, rows, group_rows): the sketch's answer, next to the exact count.
+
+    Every value whose upper bound reaches the share is listed, whether or not
+    its count does; ``high - low`` is the width of the bounds.
+    """
+    found = cut(frequent_candidates(df, value, group, share, least, **sketch))
+    return _rows_of(df, value, group, found, limit).select(F.col("g").alias("grp"), F.col("v").alias("value"), "low", "high", "rows", "group_rows")
 
 
 def frequent_values(
-    df: DataFrame, value: Column, group: Column, share: float, least: int = 1, **sketch: int
+    df: DataFrame, value: Column, group: Column, share: float, least: int = 1, **options: int
 ) -> DataFrame:
     """(grp, value, rows, low, high, group_rows): values of at least the share.
 
     Candidates and their bounds come from the sketch; an exact count of the
-    candidates' rows follows and decides.  Values of equal hash are told apart by
-    that count.  Clashing column names of ``df`` do not matter.
+    candidates' rows follows and decides.  Clashing column names of ``df`` do
+    not matter.
     """
-    found = small_side(frequent_candidates(df, value, group, share, least, **sketch))
-    rows = df.select(group.cast("string").alias("g"), value.alias("v")).where("v is not null")
-    hit = rows.join(found, rows.g.eqNullSafe(found.grp) & (F.xxhash64("v") == found.candidate))
-    counted = hit.groupBy("g", "v").agg(
-        F.count("*").alias("rows"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("group_rows").alias("group_rows")
-    )
+    counted = frequent_bounds(df, value, group, share, least, **options)
     return counted.where((F.col("rows") / F.col("group_rows") >= F.lit(share)) & (F.col("rows") >= least)).select(
-        F.col("g").alias("grp"), F.col("v").alias("value"), "rows", "low", "high", "group_rows"
+        "grp", "value", "rows", "low", "high", "group_rows"
     )

@@ -34,7 +34,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _table(spark, sf_dir, "raw_reads")
     top = frequent.frequent_values(reads, canonical_read("seq"), F.col("_file"), SHARE, LEAST)
-    return top.withColumnsRenamed({"grp": "_file", "value": "seq"})
+    return top.select(F.col("grp").alias("_file"), F.col("value").alias("seq"), "rows", "group_rows")
+
+
+def p2_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sketch alone answers: bounds of every candidate, and how wide they are against the exact count."""
+    found = frequent.frequent_bounds(_table(spark, sf_dir, "raw_reads"), canonical_read("seq"), F.col("_file"), SHARE, LEAST)
+    per_file = found.groupBy(F.col("grp").alias("_file")).agg(
+        F.count("*").alias("candidates"),
+        F.count_if((F.col("rows") / F.col("group_rows") >= F.lit(SHARE)) & (F.col("rows") >= LEAST)).alias("frequent"),
+        F.count_if(F.col("rows").between(F.col("low"), F.col("high"))).alias("inside"),
+        F.max((F.col("high") - F.col("low")) / F.col("group_rows")).alias("widest"),
+    )
+    return per_file
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +122,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_errors, p2_found, p2_counts, p3_found, p3_groups, p5_found, p5_report, p5_removable,
+        p1_found, p1_errors, p2_found, p2_counts, p2_bounds, p3_found, p3_groups, p5_found, p5_report, p5_removable,
         p6_found, p6_pieces, p8_packs, p8_summary, p9_mix, p9_shares, p10_found, p10_rates,
     )
 }
@@ -142,6 +154,9 @@ select read_no from (
 ) where n > 1""",
     "p2_found": f"""with {_CANONICAL}, sizes as (select _file, count(*) as t from raw_reads group by _file)
 select _file, c as seq from (select _file, c, count(*) as n from canon where c is not null group by _file, c) join sizes using (_file)
+where n >= {LEAST} and n / t >= {SHARE}""",
+    "p2_counts": f"""with {_CANONICAL}, sizes as (select _file, count(*) as t from raw_reads group by _file)
+select _file, c as seq, n as rows, t as group_rows from (select _file, c, count(*) as n from canon where c is not null group by _file, c) join sizes using (_file)
 where n >= {LEAST} and n / t >= {SHARE}""",
     "p3_found": """with r as (select read_no, upper(seq) as s, qual as q from raw_reads where length(seq) >= 8 and length(qual) >= 4),
 a as (select distinct read_no, substr(s, i, 8) as w from (select read_no, s, unnest(range(1, length(s) - 6)) as i from r)),

@@ -11,8 +11,10 @@ shard keeps a few filters of doubling size and never the keys.
 Cost and skew.  Repeats inside one Arrow batch are answered before the shuffle,
 so a hot key sends one row per batch, not one per occurrence.  The shuffle
 carries (fingerprint, arrival, id) only and is sorted outside memory by Spark.
-A task holds one shard's filter at a time: about ``distinct keys / shards *
-(remainder bits + 2) / 8`` bytes.
+A task holds one shard's filters at a time: about ``distinct keys / shards *
+(remainder bits + 2) / 8`` bytes, and while two of them merge the same again.
+The number of shards follows from the number of rows.  :func:`ask_store` keeps
+the filters in a table, to ask them again with a later batch.
 
 Errors.  Equal keys always collide, so a repeat is never missed.  A new key is
 wrongly called seen with probability ``1 - (1 - 2**-bits)**n`` after ``n``
@@ -21,6 +23,7 @@ distinct keys; :func:`error_report` states that next to the measured rate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,24 +31,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import cut
+
 _ONE = np.uint64(1)
 
 
+_SLICE = 1 << 14  # values packed or unpacked at once
+
+
 class BitVector:
     """A packed bit vector with a rank directory of 4 bytes for each 64 bits."""
 
-    def __init__(self, bits: np.ndarray | None = None, packed: bytes | None = None, size: int = 0):
-        if bits is not None:
-            size = len(bits)
-            raw = np.packbits(bits, bitorder="little")
-        else:
-            raw = np.frombuffer(packed, np.uint8)
-        self.size = size
-        words = np.zeros((size + 63) // 64 * 8, np.uint8)
-        words[: len(raw)] = raw[: len(words)]
-        self.words = words.view(np.uint64)
-        ones = np.unpackbits(words).reshape(-1, 64).sum(1, dtype=np.int64) if size else np.zeros(0, np.int64)
-        self.before = np.concatenate(([0], np.cumsum(ones))).astype(np.uint32)
+    def __init__(self, words: np.ndarray, size: int):
+        self.words, self.size = words, size
+        self.before = np.zeros(len(words) + 1, np.uint32)
+        np.cumsum(np.bitwise_count(words), out=self.before[1:], dtype=np.uint32)
 
     def get(self, at: np.ndarray) -> np.ndarray:
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & _ONE
@@ -56,51 +56,96 @@ class BitVector:
         return self.before[at >> 6].astype(np.int64) + np.bitwise_count(word)
 
     def select(self, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th set bit, counted from 0."""
-        word = np.searchsorted(self.before, k, side="right") - 1
-        inside = (k - self.before[word]).astype(np.int64)
-        bits = np.unpackbits(self.words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        return word * 64 + (np.cumsum(bits, axis=1) == (inside + 1)[:, None]).argmax(1)
-
-    def positions(self) -> np.ndarray:
-        return np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little")[: self.size])
-
-
-def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Values of ``width`` bits each, bit-packed, with 8 bytes of padding."""
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width]
-    return np.concatenate((np.packbits(bits.ravel(), bitorder="little"), np.zeros(16, np.uint8)))
+        """Position of the k-th set bit, counted from 0; by slices of ``k``."""
+        out = np.empty(len(k), np.int64)
+        step = _SLICE // 8
+        for low in range(0, len(k), step):
+            ask = k[low : low + step]
+            word = np.searchsorted(self.before, ask, side="right") - 1
+            inside = (ask - self.before[word]).astype(np.int64)
+            bits = np.unpackbits(self.words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            out[low : low + step] = word * 64 + (np.cumsum(bits, axis=1, dtype=np.uint8) == (inside + 1)[:, None]).argmax(1)
+        return out
+
+
+def _pack_block(values: np.ndarray, width: int) -> np.ndarray:
+    """64 values of ``width`` bits fill ``width`` words; ``len(values)`` is a multiple of 64."""
+    table = values.reshape(-1, 64)
+    out = np.zeros((len(table), width), np.uint64)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        out[:, word] |= table[:, j] << np.uint64(shift)
+        if shift + width > 64:
+            out[:, word + 1] |= table[:, j] >> np.uint64(64 - shift)
+    return out.ravel()
 
 
 def _unpack(packed: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """The values at slots ``at``."""
+    """The values at slots ``at`` of words that end with one word of padding."""
     bit = at.astype(np.int64) * width
-    byte, shift = bit >> 3, (bit & 7).astype(np.uint64)
-    low = np.zeros(len(at), np.uint64)
-    for i in range(8):
-        low |= packed[byte + i].astype(np.uint64) << np.uint64(8 * i)
-    value = low >> shift
-    if width > 57:  # such a value can reach into a ninth byte
-        high = packed[byte + 8].astype(np.uint64)
-        value |= np.where(shift > 0, high << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+    word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+    value = packed[word] >> shift
+    value |= np.where(shift > 0, packed[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
     return value if width == 64 else value & ((_ONE << np.uint64(width)) - _ONE)
 
 
 class QuotientFilter:
-    """A sorted, immutable set of fingerprints below ``2**bits``."""
+    """A sorted, immutable set of fingerprints below ``2**bits``.
+
+    It is written from slices of a sorted stream, so that building or merging
+    needs no more than the packed words and a few slices.
+    """
 
     def __init__(self, fingerprints: np.ndarray, bits: int):
         """``fingerprints``: sorted, distinct, uint64."""
+        self._write((fingerprints[i : i + _SLICE] for i in range(0, len(fingerprints), _SLICE)), len(fingerprints), bits)
+
+    @classmethod
+    def of_stream(cls, slices: Iterator[np.ndarray], most: int, bits: int) -> QuotientFilter:
+        """From sorted slices that hold at most ``most`` fingerprints."""
+        out = cls.__new__(cls)
+        out._write(slices, most, bits)
+        return out
+
+    def _write(self, slices: Iterator[np.ndarray], most: int, bits: int) -> None:
         self.bits = bits
-        self.size = len(fingerprints)
-        self.q = min(bits - 1, max(1, int(self.size).bit_length()), 26)
+        self.q = min(bits - 1, max(1, int(most).bit_length()), 30)
         self.r = bits - self.q
-        quotient = (fingerprints >> np.uint64(self.r)).astype(np.int64)
-        self.remainders = _pack(fingerprints & ((_ONE << np.uint64(self.r)) - _ONE), self.r)
-        occupied = np.zeros(1 << self.q, bool)
-        occupied[quotient] = True
-        self.occupied = BitVector(occupied)
-        self.run_end = BitVector(np.append(quotient[1:] != quotient[:-1], True) if self.size else np.zeros(0, bool))
+        rest = np.uint64(self.r)
+        mask = (_ONE << rest) - _ONE
+        words = np.zeros((most + 63) // 64 * self.r + 1, np.uint64)
+        ends = np.zeros((most + 63) // 64, np.uint64)
+        occupied = np.zeros(((1 << self.q) + 63) // 64, np.uint64)
+        done, held = 0, np.zeros(0, np.uint64)
+
+        def put(values: np.ndarray, closes: np.ndarray) -> None:
+            """Values from slot ``done`` on, which is a multiple of 64."""
+            room = -len(values) % 64
+            packed = _pack_block(np.append(values & mask, np.zeros(room, np.uint64)), self.r)
+            words[done // 64 * self.r :][: len(packed)] = packed
+            bits_of = np.packbits(np.append(closes, np.zeros(room, bool)), bitorder="little").view(np.uint64)
+            ends[done // 64 :][: len(bits_of)] = bits_of
+            quotient = (values[closes] >> rest).astype(np.int64)  # one for each run
+            if len(quotient):
+                word = quotient >> 6
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                occupied[word[first]] |= np.bitwise_or.reduceat(_ONE << (quotient & 63).astype(np.uint64), first)
+
+        for part in slices:
+            held = np.concatenate((held, part)) if len(held) else part
+            whole = (len(held) - 1) // 64 * 64  # the last value waits: its run may go on
+            if whole > 0:
+                quotient = held[: whole + 1] >> rest
+                put(held[:whole], quotient[1:] != quotient[:-1])
+                done += whole
+                held = held[whole:]
+        self.size = done + len(held)
+        if len(held):
+            quotient = held >> rest
+            put(held, np.append(quotient[1:] != quotient[:-1], True))
+        self.remainders = words[: (self.size + 63) // 64 * self.r + 1]
+        self.occupied = BitVector(occupied, 1 << self.q)
+        self.run_end = BitVector(ends[: (self.size + 63) // 64], self.size)
 
     def contains(self, fingerprints: np.ndarray) -> np.ndarray:
         found = np.zeros(len(fingerprints), bool)
@@ -121,36 +166,73 @@ class QuotientFilter:
             live, slot, end = live[on], slot[on] + 1, end[on]
         return found
 
+    def slices(self, step: int = _SLICE) -> Iterator[np.ndarray]:
+        """All fingerprints in order, ``step`` at a time, rebuilt from runs and remainders."""
+        for low in range(0, self.size, step):
+            slot = np.arange(low, min(low + step, self.size))
+            quotient = self.occupied.select(self.run_end.rank(slot)).astype(np.uint64)
+            yield (quotient << np.uint64(self.r)) | _unpack(self.remainders, slot, self.r)
+
     def fingerprints(self) -> np.ndarray:
-        """All fingerprints, sorted, rebuilt from runs and remainders."""
-        if not self.size:
-            return np.zeros(0, np.uint64)
-        ends = self.run_end.positions()
-        quotient = np.repeat(self.occupied.positions(), np.diff(ends, prepend=-1)).astype(np.uint64)
-        return (quotient << np.uint64(self.r)) | _unpack(self.remainders, np.arange(self.size), self.r)
+        return np.concatenate([np.zeros(0, np.uint64), *self.slices()])
 
     def merge(self, other: QuotientFilter) -> QuotientFilter:
-        """Both sets in one filter, by merging two sorted runs."""
-        return QuotientFilter(_merge_sorted(self.fingerprints(), other.fingerprints()), self.bits)
+        """Both sets in one filter: two sorted runs, merged slice by slice."""
+        return QuotientFilter.of_stream(_merge_sorted(self.slices(), other.slices()), self.size + other.size, self.bits)
 
     def stored_bytes(self) -> int:
         return (self.size * self.r + 7) // 8 + ((1 << self.q) + self.size + 7) // 8
 
-
-def _merge_sorted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty(len(a) + len(b), np.uint64)
-    at = np.searchsorted(a, b) + np.arange(len(b))
-    rest = np.ones(len(out), bool)
-    rest[at] = False
-    out[at], out[rest] = b, a
-    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+    def held_bytes(self) -> int:
+        """Memory of the arrays, rank directories included."""
+        return sum(x.nbytes for x in (self.remainders, self.occupied.words, self.occupied.before, self.run_end.words, self.run_end.before))
+
+    def to_bytes(self) -> bytes:
+        head = np.array([self.bits, self.q, self.size], np.int64)
+        return b"".join(x.tobytes() for x in (head, self.remainders, self.occupied.words, self.run_end.words))
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> QuotientFilter:
+        out = cls.__new__(cls)
+        out.bits, out.q, out.size = (int(x) for x in np.frombuffer(data, np.int64, 3))
+        out.r = out.bits - out.q
+        words = np.frombuffer(data, np.uint64, offset=24)
+        n, m = (out.size + 63) // 64 * out.r + 1, ((1 << out.q) + 63) // 64
+        out.remainders = words[:n]
+        out.occupied = BitVector(words[n : n + m], 1 << out.q)
+        out.run_end = BitVector(words[n + m :], out.size)
+        return out
+
+
+def _merge_sorted(a: Iterator[np.ndarray], b: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Two sorted streams as one, without repeats."""
+    none = np.zeros(0, np.uint64)
+    x, y = next(a, none), next(b, none)
+    last = None
+    while len(x) or len(y):
+        if not len(x) or not len(y):
+            out, x, y = (y, none, next(b, none)) if len(y) else (x, next(a, none), none)
+        else:
+            limit = min(x[-1], y[-1])
+            i, j = np.searchsorted(x, limit, side="right"), np.searchsorted(y, limit, side="right")
+            out = np.sort(np.concatenate((x[:i], y[:j])), kind="stable")
+            x = x[i:] if i < len(x) else next(a, none)
+            y = y[j:] if j < len(y) else next(b, none)
+        out = out[np.append(last is None or out[0] != last, out[1:] != out[:-1])]
+        if len(out):
+            last = out[-1]
+            yield out
 
 
 class Cascade:
-    """Quotient filters of at least doubling size; adding merges small ones."""
+    """Quotient filters of at least doubling size; adding merges small ones.
 
-    def __init__(self, bits: int):
-        self.bits, self.levels = bits, []
+    No merge makes a filter of more than ``most`` keys: beyond it there are more
+    filters, so that a stored one stays small enough for a cell of a table.
+    """
+
+    def __init__(self, bits: int, most: int = 1 << 26):
+        self.bits, self.most, self.levels = bits, most, []
 
     def seen_then_add(self, fingerprints: np.ndarray) -> np.ndarray:
         """For each fingerprint in order: was it here, or earlier in this array?"""
@@ -163,7 +245,7 @@ class Cascade:
         seen[first[~known]] = False
         if not known.all():
             self.levels.append(QuotientFilter(distinct[~known], self.bits))
-            while len(self.levels) > 1 and self.levels[-2].size < 2 * self.levels[-1].size:
+            while len(self.levels) > 1 and self.levels[-2].size < 2 * self.levels[-1].size and self.levels[-2].size + self.levels[-1].size <= self.most:
                 last = self.levels.pop()
                 self.levels[-1] = self.levels[-1].merge(last)
         return seen
@@ -182,29 +264,56 @@ def _answer_inside_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         )
 
 
-def _answer_in_shards(bits: int, shard_bits: int):
-    low = bits - shard_bits
-    mask = (_ONE << np.uint64(low)) - _ONE
+def _shards(shard: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """``rows``, which are sorted by shard, cut where the shard changes."""
+    return np.split(rows, np.flatnonzero(np.diff(shard[rows])) + 1) if len(rows) else []
+
+
+def _answer_in_shards(sizes: list[int], shard_bits: int):
+    """One answer column for each fingerprint size: a size is a prefix of the 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, state = -1, Cascade(low)
+        shard, states = -1, []
         for batch in batches:
             s, fp, n, done = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            seen = done.astype(bool)
-            todo = np.flatnonzero(~seen)
-            for part in np.split(todo, np.flatnonzero(np.diff(s[todo])) + 1) if len(todo) else []:
+            seen = [done.astype(bool) for _ in sizes]
+            for part in _shards(s, np.flatnonzero(~done.astype(bool))):
                 if s[part[0]] != shard:
-                    shard, state = s[part[0]], Cascade(low)
-                seen[part] = state.seen_then_add(fp[part].astype(np.uint64) & mask)
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(seen)], ["row_id", "seen"])
+                    shard, states = s[part[0]], [Cascade(b - shard_bits) for b in sizes]
+                inside = (fp[part].view(np.uint64) << np.uint64(shard_bits)) >> np.uint64(shard_bits)
+                for answer, state, b in zip(seen, states, sizes, strict=True):
+                    answer[part] = state.seen_then_add(inside >> np.uint64(64 - b))
+            yield pa.RecordBatch.from_arrays([pa.array(n), *map(pa.array, seen)], ["row_id", *(f"seen_{b}" for b in sizes)])
 
     return run
 
 
-def fingerprint(key: Column, bits: int) -> Column:
-    """The top ``bits`` bits of a 64-bit hash; at 64 bits it may be negative."""
-    h = F.xxhash64(key)
-    return h if bits == 64 else F.shiftrightunsigned(h, 64 - bits)
+#: Distinct keys that one shard's filters are meant for: about 30 MB at 64 bits.
+SHARD_KEYS = 1 << 22
+
+
+def shard_bits_for(df: DataFrame) -> int:
+    """Enough shards that none has to hold more than SHARD_KEYS keys, and several for each shuffle partition."""
+    spark = df.sparkSession
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(math.log2(max(least, df.count() / SHARD_KEYS))))
+
+
+def _rows(df: DataFrame, key: Column, row_id: str, arrived: str) -> DataFrame:
+    return df.select(
+        F.xxhash64(key).alias("fp"),
+        F.coalesce(F.unix_micros(F.col(arrived).cast("timestamp")), F.lit((1 << 63) - 1)).alias("arrived"),
+        F.col(row_id).cast("long").alias("row_id"),
+        key.isNotNull().alias("has_key"),
+    ).where("has_key and row_id is not null").drop("has_key")
+
+
+def _sharded(rows: DataFrame, shard_bits: int) -> DataFrame:
+    """(shard, arrived, fp, row_id, seen): answered inside batches, each with its shard."""
+    local = rows.mapInArrow(_answer_inside_batches, "fp long, arrived long, row_id long, seen boolean")
+    # Rows already answered need no shard: they spread over all of them.
+    place = F.when(F.col("seen"), F.pmod(F.xxhash64("row_id"), F.lit(1 << shard_bits))).otherwise(F.shiftrightunsigned("fp", 64 - shard_bits))
+    return local.withColumn("shard", place)
 
 
 def seen_before(
@@ -212,8 +321,8 @@ def seen_before(
     key: Column,
     row_id: str = "read_no",
     arrived: str = "loaded_at",
-    bits: int = 64,
-    shard_bits: int = 8,
+    bits: int | list[int] = 64,
+    shard_bits: int | None = None,
 ) -> DataFrame:
     """(``row_id``, ``seen``) for every row that has a key.
 
@@ -222,54 +331,132 @@ def seen_before(
     answer and are left out, as are rows without ``row_id``; an empty table
     gives an empty result.  Rows that share an arrival and a row_id are ordered
     arbitrarily, the first of them being new.  Other columns of ``df`` are
-    ignored, whatever their names.  ``shard_bits`` sets the number of shards,
-    2**shard_bits: choose it so that a shard's distinct keys fit a task.
+    ignored, whatever their names.  ``bits`` is the size of a fingerprint; a
+    list of sizes gives a column ``seen_<bits>`` for each, all from one pass.
+    There are 2**``shard_bits`` shards, by default as many as the number of rows
+    asks for.
     """
-    if not shard_bits < bits <= 64:
+    sizes = [bits] if isinstance(bits, int) else list(bits)
+    if shard_bits is None:
+        shard_bits = min(shard_bits_for(df), min(sizes) - 1)
+    if not 0 < shard_bits < min(sizes) or max(sizes) > 64:
         raise ValueError("bits must exceed shard_bits and be at most 64")
-    rows = df.select(
-        fingerprint(key, bits).alias("fp"),
-        F.coalesce(F.unix_micros(F.col(arrived).cast("timestamp")), F.lit((1 << 63) - 1)).alias("arrived"),
-        F.col(row_id).cast("long").alias("row_id"),
-        key.isNotNull().alias("has_key"),
-    ).where("has_key and row_id is not null").drop("has_key")
-    local = rows.mapInArrow(_answer_inside_batches, "fp long, arrived long, row_id long, seen boolean")
-    shard = F.shiftrightunsigned("fp", bits - shard_bits)
-    # Rows already answered need no shard: they spread over all of them.
-    place = F.when(F.col("seen"), F.pmod(F.xxhash64("row_id"), F.lit(1 << shard_bits))).otherwise(shard)
     sharded = (
-        local.withColumn("shard", place)
+        _sharded(_rows(df, key, row_id, arrived), shard_bits)
         .repartition("shard")
         .sortWithinPartitions("shard", "seen", "arrived", "row_id")
         .select("shard", "fp", "row_id", "seen")
     )
-    out = sharded.mapInArrow(_answer_in_shards(bits, shard_bits), "row_id long, seen boolean")
-    return out.withColumnRenamed("row_id", row_id)
+    out = sharded.mapInArrow(_answer_in_shards(sizes, shard_bits), ", ".join(["row_id long", *(f"seen_{b} boolean" for b in sizes)]))
+    return out.withColumnsRenamed({"row_id": row_id} | ({f"seen_{bits}": "seen"} if isinstance(bits, int) else {}))
+
+
+def _answer_with_store(bits: int, shard_bits: int, most: int):
+    low = bits - shard_bits
+    schema = pa.schema([("row_id", pa.int64()), ("seen", pa.bool_()), ("shard", pa.int64()), ("filter", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, state = None, Cascade(low, most)
+
+        def stored():
+            n = len(state.levels)
+            columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array([shard] * n, pa.int64()), pa.array([f.to_bytes() for f in state.levels], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            s, fp, n = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(3))
+            seen, old = batch.column(3).to_numpy(zero_copy_only=False).astype(bool), batch.column(4)
+            is_filter = old.is_valid().to_numpy(zero_copy_only=False)
+            for part in _shards(s, np.flatnonzero(~seen)):
+                if s[part[0]] != shard:
+                    if state.levels:
+                        yield stored()
+                    shard, state = int(s[part[0]]), Cascade(low, most)
+                for i in part[is_filter[part]]:
+                    state.levels.append(QuotientFilter.from_bytes(old[int(i)].as_py()))
+                state.levels.sort(key=lambda f: -f.size)
+                ask = part[~is_filter[part]]
+                inside = (fp[ask].view(np.uint64) << np.uint64(shard_bits)) >> np.uint64(shard_bits)
+                seen[ask] = state.seen_then_add(inside >> np.uint64(64 - bits))
+            rows = np.flatnonzero(~is_filter)
+            none = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(n[rows]), pa.array(seen[rows]), *none], schema=schema)
+        if state.levels:
+            yield stored()
+
+    return run
+
+
+def ask_store(
+    df: DataFrame,
+    key: Column,
+    store: str,
+    row_id: str = "read_no",
+    arrived: str = "loaded_at",
+    bits: int = 64,
+    shard_bits: int | None = None,
+    most: int = 1 << 26,
+) -> DataFrame:
+    """As seen_before(), against all batches asked before: (``row_id``, ``seen``).
+
+    ``store`` is a folder that all executors share.  It holds a table of filters
+    for each batch, ``batch=0`` onwards; the latest is read, asked, extended and
+    written as the next one, so a batch that failed leaves the store as it was.
+    Fingerprint size and number of shards are those of the first batch.  A
+    filter has at most ``most`` keys; a shard with more has several.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = -1
+    if files.exists(path):
+        done = [p.getPath() for p in files.listStatus(path) if p.getPath().getName().startswith("batch=")]
+        whole = [p for p in done if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        last = max([int(p.getName().removeprefix("batch=")) for p in whole], default=-1)
+    if last >= 0:
+        old = spark.read.parquet(f"{store}/batch={last}")
+        bits, shard_bits = old.select("bits", "shard_bits").first() or (bits, shard_bits)
+    if shard_bits is None:
+        shard_bits = min(shard_bits_for(df), bits - 1)
+    rows = _sharded(_rows(df, key, row_id, arrived), shard_bits).withColumn("filter", F.lit(None).cast("binary"))
+    if last >= 0:
+        empty = {c: F.lit(None).cast("long") for c in ("fp", "arrived", "row_id")}
+        rows = rows.unionByName(old.select("shard", "filter").withColumns({**empty, "seen": F.lit(False)}))
+    # A shard's filters come before its rows: both are unanswered, and filters have no arrival.
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "seen", F.col("arrived").asc_nulls_first(), "row_id")
+    answered = cut(
+        ordered.select("shard", "fp", "row_id", "seen", "filter").mapInArrow(
+            _answer_with_store(bits, shard_bits, most), "row_id long, seen boolean, shard long, filter binary"
+        )
+    )
+    kept = answered.where("filter is not null").select("shard", "filter", F.lit(bits).alias("bits"), F.lit(shard_bits).alias("shard_bits"))
+    kept.write.mode("overwrite").parquet(f"{store}/batch={last + 1}")
+    return answered.where("filter is null").select(F.col("row_id").alias(row_id), "seen")
 
 
 def error_report(
-    df: DataFrame, key: Column, bits: list[int], row_id: str = "read_no", arrived: str = "loaded_at"
+    df: DataFrame, key: Column, bits: list[int], row_id: str = "read_no", arrived: str = "loaded_at", shard_bits: int | None = None
 ) -> DataFrame:
     """Rate of wrong answers for each fingerprint size: derived and measured.
 
     One row per entry of ``bits``: ``bits``, ``new_keys`` (rows whose key is
     new), ``wrong`` (of these, answered "seen"), ``missed`` (repeats answered
     "new", always 0), ``measured_rate`` and ``derived_rate`` of wrong answers
-    among new keys.  The truth is an exact grouping of the whole keys.
+    among new keys.  All sizes are answered in one pass; the truth is an exact
+    grouping of the whole keys.
     """
-    rows = df.select(key.alias("k"), F.col(row_id).cast("long").alias(row_id), F.col(arrived).alias(arrived)).where("k is not null")
+    rows = df.select(key.alias("k"), F.col(row_id).cast("long").alias(row_id), F.col(arrived).alias(arrived)).where(F.col("k").isNotNull())
     at = F.coalesce(F.unix_micros(F.col(arrived).cast("timestamp")), F.lit((1 << 63) - 1))
     first = rows.groupBy("k").agg(F.min(F.struct(at.alias("t"), F.col(row_id).alias("n"))).alias("f")).select(F.col("f.n").alias(row_id), F.lit(True).alias("is_new"))
-    parts = None
-    for b in bits:
-        answer = seen_before(rows, F.col("k"), row_id, arrived, b, min(8, b - 1)).withColumn("bits", F.lit(b))
-        parts = answer if parts is None else parts.unionByName(answer)
-    joined = parts.join(first, row_id, "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
-    counts = joined.groupBy("bits").agg(
+    answers = seen_before(rows, F.col("k"), row_id, arrived, list(bits), shard_bits or min(shard_bits_for(df), min(bits) - 1))
+    joined = answers.join(first, row_id, "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+    flags = joined.agg(
         F.count_if("is_new").alias("new_keys"),
-        F.count_if(F.col("is_new") & F.col("seen")).alias("wrong"),
-        F.count_if(~F.col("is_new") & ~F.col("seen")).alias("missed"),
+        *(F.count_if(F.col("is_new") & F.col(f"seen_{b}")).alias(f"wrong_{b}") for b in bits),
+        *(F.count_if(~F.col("is_new") & ~F.col(f"seen_{b}")).alias(f"missed_{b}") for b in bits),
     )
+    each = F.array(*(F.struct(F.lit(b).alias("bits"), F.col("new_keys"), F.col(f"wrong_{b}").alias("wrong"), F.col(f"missed_{b}").alias("missed")) for b in bits))
+    counts = flags.select(F.inline(each))
     n, m = F.col("new_keys").cast("double"), F.pow(F.lit(2.0), F.col("bits").cast("double"))
     filled = -F.expm1(n * F.log1p(-1 / m))  # expected share of fingerprints in use
     return counts.select(

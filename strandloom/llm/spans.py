@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from strandloom.llm.neardup import _distinct, _strings
-from strandloom.session import small_side
+from strandloom.session import cut as small_side
 
 _CODE = np.full(256, 4, np.uint8)
 _CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)

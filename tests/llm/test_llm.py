@@ -39,6 +39,26 @@ def test_quotient_filter_widths(bits):
     assert f.stored_bytes() < 8 * len(values) + 8192
 
 
+def test_quotient_filter_memory():
+    """Building and merging stay under 12 bytes a key, whatever the size."""
+    import tracemalloc
+
+    n = 1_000_000
+    values = np.sort(np.random.default_rng(3).integers(0, 2**56, 2 * n, dtype=np.uint64))
+    parts = [values[::2], values[1::2]]
+    tracemalloc.start()
+    halves = [seen.QuotientFilter(p, 56) for p in parts]
+    build = tracemalloc.get_traced_memory()[1] / len(values)
+    tracemalloc.reset_peak()
+    whole = halves[0].merge(halves[1])
+    merge = tracemalloc.get_traced_memory()[1] / len(values)
+    tracemalloc.stop()
+    assert build < 12 and merge < 12, (build, merge)
+    assert whole.size == len(np.unique(values)) and whole.contains(values[:1000]).all()
+    again = seen.QuotientFilter.from_bytes(whole.to_bytes())
+    assert all((a == b).all() for a, b in zip(again.slices(), whole.slices(), strict=True)) and again.contains(values[-1000:]).all()
+
+
 @given(st.lists(st.integers(0, 30), max_size=200), st.integers(1, 9))
 @settings(max_examples=40, deadline=None)
 def test_cascade_answers_in_order(keys, step):
@@ -69,6 +89,23 @@ def test_seen_with_few_bits_errs_only_one_way(spark):
     assert 0.5 < report[14]["measured_rate"] / report[14]["derived_rate"] < 1.6
 
 
+def test_store_answers_later_batches(spark, tmp_path):
+    random.seed(2)
+    keys = [random.choice(["hot"] * 3 + [f"k{random.randrange(60)}" for _ in range(5)]) for _ in range(300)]
+    batches = [[(i, keys[i], i) for i in range(low, low + 100)] for low in (0, 100, 200)]
+    store, known = str(tmp_path / "store"), set()
+    for batch in batches:
+        df = spark.createDataFrame(batch, "n long, k string, t long").select("n", "k", F.timestamp_seconds("t").alias("at"))
+        got = {r["n"]: r["seen"] for r in seen.ask_store(df, F.col("k"), store, "n", "at", shard_bits=3, most=16).collect()}
+        for n, k, _ in batch:
+            assert got[n] == (k in known), (n, k)
+            known.add(k)
+    none = spark.createDataFrame([], "n long, k string, at timestamp")
+    assert seen.ask_store(none, F.col("k"), store, "n", "at").count() == 0
+    again = spark.createDataFrame([(1, "hot", None), (2, "new", None), (3, None, None)], "n long, k string, at timestamp")
+    assert {r["n"]: r["seen"] for r in seen.ask_store(again, F.col("k"), store, "n", "at").collect()} == {1: True, 2: False}
+
+
 # frequent ------------------------------------------------------------------------
 
 
@@ -98,6 +135,19 @@ def test_frequent_values(spark):
     assert set(got) == {(g, v) for (g, v), n in counts.items() if v is not None and n >= 5 and n / sizes[g] >= 0.01}
     assert all(r["low"] <= r["rows"] == counts[k] <= r["high"] and r["group_rows"] == sizes[k[0]] for k, r in got.items())
     assert frequent.frequent_values(df.where("false"), F.col("low"), F.col("value"), 0.01).count() == 0
+    other = frequent.frequent_values(df, F.col("low"), F.col("value"), 0.01, 5, depth=4, width=256, limit=0).collect()
+    assert {(r["grp"], r["value"]): r["rows"] for r in other} == {k: r["rows"] for k, r in got.items()}
+
+
+def test_cells_merge_by_cancelling(spark):
+    """Cells of many partitions merge to bounds that hold for every value."""
+    random.seed(5)
+    values = [random.choice("ab" * 30 + "cdefghijkl") for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(9)
+    got = frequent.frequent_bounds(df, F.col("v"), F.lit("g"), 0.001, depth=2, width=4).collect()
+    counts = Counter(values)
+    assert {"a", "b"} & {r["value"] for r in got}
+    assert all(r["low"] <= counts[r["value"]] <= r["high"] and r["rows"] == counts[r["value"]] and r["group_rows"] == 4000 for r in got)
 
 
 def test_sketch_memory_is_bounded(spark):
