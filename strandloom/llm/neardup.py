@@ -8,8 +8,13 @@ for chance agreement estimates the similarity, and pairs whose estimate lies
 more than ``margin`` standard deviations under the threshold are dropped.  An
 exact comparison of the windows decides about the rest.
 
-Records of equal content are one class from the start: the search runs over
-classes, and copies are expanded only where a result of row pairs is asked for.
+Records of equal content are one class from the start, known by 128 bits of
+hash: the search runs over classes, and copies are expanded only where a result
+of row pairs is asked for.  Bands travel packed (see :mod:`blobs`) with 40 bits
+of a class's hash, so a short id may stand for several classes; everything
+behind the candidates goes by the whole class, and classes that share a short
+id are candidates of each other.  Texts are shuffled once, by short id, however
+many there are; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.blobs import by_range, chunks, planes, range_bits, sorted_planes, unplanes, unsorted_planes
 from strandloom.operators.graph import components
 from strandloom.session import cut
 
@@ -39,7 +45,7 @@ class Plan:
     bands: int = 32
     lane_bits: int = 4
     margin: float = 4.0
-    key_bits: int = 48
+    key_bits: int = 36
     seed: int = 7
     multipliers: np.ndarray = field(init=False, repr=False, compare=False)
     offsets: np.ndarray = field(init=False, repr=False, compare=False)
@@ -117,186 +123,230 @@ def _lanes(values: np.ndarray, bits: int) -> list[np.ndarray]:
     return out
 
 
-def _distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids = batch.column(0).to_numpy()
-    first = np.unique(ids, return_index=True)[1]
-    return batch if len(first) == len(ids) else batch.take(pa.array(np.sort(first)))
+ID_BITS = 40
 
 
-def _emit_bands(plan: Plan):
+class Fresh:
+    """Drops rows whose class, the first two columns, was met in this task before."""
+
+    def __init__(self):
+        self.met: set[bytes] = set()
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        names = both.view("V16").ravel().tolist()
+        keep = np.empty(len(names), bool)
+        for i, name in enumerate(names):
+            keep[i] = name not in self.met
+            self.met.add(name)
+        return batch if keep.all() else batch.filter(pa.array(keep))
+
+
+def _emit_bands(plan: Plan, bits: int, least: int = 8 << 20):
+    """A row for each range of band keys and chunk of records: keys by their differences, and short ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = plan.bands
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch = _distinct(batch)
-            one = minima(batch.column(1), plan.sizes[0], plan.multipliers[:n], plan.offsets[:n]).astype(np.uint64)
-            two = minima(batch.column(2), plan.sizes[1], plan.multipliers[n:], plan.offsets[n:]).astype(np.uint64)
-            ids = batch.column(0).to_numpy()
-            shift = np.uint64(64 - plan.key_bits)
-            for band in range(n):
-                key = one[:, band] << np.uint64(32) | two[:, 2 * band]
-                key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= two[:, 2 * band + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band)
-                key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                yield pa.RecordBatch.from_arrays([pa.array((key >> shift).view(np.int64)), pa.array(ids)], ["band", "id"])
+        n, fresh = plan.bands, Fresh()
+        whole = plan.key_bits + (n - 1).bit_length()  # bits of a key with its band
+        for batch in chunks(map(fresh, batches), least):
+            one = minima(batch.column(2), plan.sizes[0], plan.multipliers[:n], plan.offsets[:n]).astype(np.uint64)
+            two = minima(batch.column(3), plan.sizes[1], plan.multipliers[n:], plan.offsets[n:]).astype(np.uint64)
+            key = one << np.uint64(32) | two[:, 0::2]
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= two[:, 1::2] * np.uint64(0xC2B2AE3D27D4EB4F) + np.arange(n, dtype=np.uint64)
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            # The hash is on top, so that ranges are of equal size; the band below it.
+            key = (key >> np.uint64(64 - plan.key_bits)) << np.uint64(whole - plan.key_bits) | np.arange(n, dtype=np.uint64)
+            ids = np.repeat(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - ID_BITS), n)
+            key = key.ravel()
+            order = np.argsort(key)
+            key, ids = key[order], ids[order]
+            cuts = np.searchsorted(key, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(whole - bits))
+            bounds = list(zip(np.append(0, cuts).tolist(), np.append(cuts, len(key)).tolist(), strict=True))
+            used = [(r, a, b) for r, (a, b) in enumerate(bounds) if a < b]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r for r, _, _ in used], pa.int32()),
+                    pa.array([b - a for _, a, b in used], pa.int32()),
+                    pa.array([sorted_planes(key[a:b]) for _, a, b in used], pa.binary()),
+                    pa.array([planes(ids[a:b]) for _, a, b in used], pa.binary()),
+                ],
+                ["range", "n", "keys", "ids"],
+            )
 
     return run
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, starts, sizes) of the bands of each range that several short ids share."""
+    for _, rows in by_range(batches):
+        band = np.concatenate([unsorted_planes(keys, n) for n, keys, _ in rows])
+        ids = np.concatenate([unplanes(ids, n) for n, _, ids in rows]).view(np.int64)
+        order = np.lexsort((ids, band))
+        band, ids = band[order], ids[order]
+        fresh = np.append(True, (band[1:] != band[:-1]) | (ids[1:] != ids[:-1]))
+        band, ids = band[fresh], ids[fresh]
+        starts = np.append(0, np.flatnonzero(band[1:] != band[:-1]) + 1)
+        sizes = np.diff(np.append(starts, len(band)))
+        yield ids, starts[sizes > 1], sizes[sizes > 1]
+
+
+#: Ids of a bucket from which on its pairs are made in blocks, by all tasks.
+BLOCK = 256
+
+
+def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (``a``, ``b``) of buckets of up to BLOCK ids."""
+    for ids, starts, sizes in _buckets(batches):
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        starts, sizes = starts[sizes <= BLOCK], sizes[sizes <= BLOCK]
+        for step in range(1, int(sizes.max(initial=0))):
+            starts, sizes = starts[sizes > step], sizes[sizes > step]
+            n = sizes - step
+            at = np.repeat(starts - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            left.append(ids[at])
+            right.append(ids[at + step])
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if len(left) > 1 else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _large_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two blocks of ids, ``left`` and ``right``, of buckets of more than BLOCK ids."""
+    kind = pa.list_(pa.int64())
+    for ids, starts, sizes in _buckets(batches):
+        for s, n in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK], strict=True):
+            cuts = [ids[i : i + BLOCK] for i in range(s, s + n, BLOCK)]
+            cuts[-1] = cuts[-1][: s + n - (s + (len(cuts) - 1) * BLOCK)]
+            for i, x in enumerate(cuts):
+                yield pa.RecordBatch.from_arrays([pa.array(cuts[: i + 1], kind), pa.array([x] * (i + 1), kind)], ["left", "right"])
+
+
 def _emit_signatures(plan: Plan):
+    """The columns of a class with its packed signature, each class once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = plan.bands
-        for batch in batches:
+        n, fresh = plan.bands, Fresh()
+        for batch in map(fresh, batches):
             if batch.num_rows:
-                batch = _distinct(batch)
-                parts = [
-                    np.stack(_lanes(minima(batch.column(1 + f), plan.sizes[f], plan.multipliers[s], plan.offsets[s]), plan.lane_bits), axis=1)
+                lanes = [
+                    lane
                     for f, s in ((0, slice(0, n)), (1, slice(n, None)))
+                    for lane in _lanes(minima(batch.column(2 + f), plan.sizes[f], plan.multipliers[s], plan.offsets[s]), plan.lane_bits)
                 ]
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.int64())) for p in parts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "sig_one", "sig_two"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, lanes)], [*batch.schema.names, *_lane_names(plan)])
 
     return run
 
 
-def _pair_buckets(block: int = 256):
-    """Sorted (band, id) to pairs of ids that share a band.
-
-    Small buckets give pairs (``a``, ``b``).  A large bucket gives rows of two
-    blocks of ids, ``left`` and ``right``, whose pairs are made after these rows
-    were spread over all tasks.
-    """
-    long = pa.int64()
-    blocks = pa.list_(long)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(a, b):
-            none = pa.nulls(len(a), blocks)
-            return pa.RecordBatch.from_arrays([pa.array(a, long), pa.array(b, long), none, none], ["a", "b", "left", "right"])
+def _lane_names(plan: Plan) -> list[str]:
+    return [f"s{f}_{i}" for f in (0, 1) for i in range(-(-plan.counts[f] * plan.lane_bits // 64))]
 
-        def large(ids):
-            cuts = [ids[i : i + block] for i in range(0, len(ids), block)]
-            for i, x in enumerate(cuts):
-                some = cuts[: i + 1]
-                none = pa.nulls(len(some), long)
-                yield pa.RecordBatch.from_arrays([none, none, pa.array([x] * len(some), blocks), pa.array(some, blocks)], ["a", "b", "left", "right"])
-
-        def bucketed(band, ids):
-            fresh = np.append(True, (band[1:] != band[:-1]) | (ids[1:] != ids[:-1]))
-            band, ids = band[fresh], ids[fresh]
-            starts = np.append(0, np.flatnonzero(band[1:] != band[:-1]) + 1)
-            sizes = np.diff(np.append(starts, len(band)))
-            left, right = [], []
-            for step in range(1, min(block, int(sizes.max()))):
-                s, n = starts[(sizes > step) & (sizes <= block)], sizes[(sizes > step) & (sizes <= block)]
-                if not len(s):
-                    break
-                at = np.repeat(s - np.append(0, np.cumsum(n - step)[:-1]), n - step) + np.arange((n - step).sum())
-                left.append(ids[at])
-                right.append(ids[at + step])
-            if left:
-                yield pairs(np.concatenate(left), np.concatenate(right))
-            for s, n in zip(starts[sizes > block], sizes[sizes > block], strict=True):
-                yield from large(ids[s : s + n])
-
-        band_left, ids_left = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            band = np.concatenate((band_left, batch.column(0).to_numpy()))
-            ids = np.concatenate((ids_left, batch.column(1).to_numpy()))
-            if not len(band):
-                continue
-            stop = np.searchsorted(band, band[-1])
-            band_left, ids_left = band[stop:], ids[stop:]
-            if stop:
-                yield from bucketed(band[:stop], ids[:stop])
-        if len(band_left):
-            yield from bucketed(band_left, ids_left)
 
-    return run
-
-
-def _equal_lanes(a: str, b: str, words: int, lane_bits: int) -> Column:
-    """Lanes in which two packed signatures agree."""
-    mask = sum(1 << i for i in range(0, 64, lane_bits))
+def _equal_lanes(plan: Plan, part: int, a: str, b: str) -> Column:
+    """Lanes of one field in which two packed signatures agree."""
+    mask = sum(1 << i for i in range(0, 64, plan.lane_bits))
     mask -= (mask >> 63) << 64
-    total = F.lit(words * (64 // lane_bits))
-    for i in range(words):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+    names = [n for n in _lane_names(plan) if n.startswith(f"s{part}_")]
+    total = F.lit(plan.counts[part])  # lanes that fill up the last long are equal in both
+    for name in names:
+        x = F.col(a + name).bitwiseXOR(F.col(b + name))
         step = 1
-        while step < lane_bits:
+        while step < plan.lane_bits:
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
             step *= 2
         total = total - F.bit_count(x.bitwiseAND(F.lit(mask)))
     return total
 
 
-def _similar(a: str, b: str, size: int, threshold: float) -> bool:
-    x = {a[i : i + size] for i in range(len(a) - size + 1)}
-    y = {b[i : i + size] for i in range(len(b) - size + 1)}
-    both = len(x & y)
-    return both > 0 and both >= threshold * (len(x) + len(y) - both)
+def _windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window) of the distinct windows of each string, sorted; a window is one machine word."""
+    raw, at = _strings(column)
+    raw = np.ascontiguousarray(raw)
+    word = np.ndarray((len(raw) - size + 1,), f"<u{size}", raw, 0, (1,)).astype(np.uint64)
+    n = np.diff(at) - size + 1
+    row = np.repeat(np.arange(len(n)), n)
+    word = word[np.repeat(at[:-1] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+    order = np.lexsort((word, row))
+    row, word = row[order], word[order]
+    fresh = np.append(True, (row[1:] != row[:-1]) | (word[1:] != word[:-1]))
+    return row[fresh], word[fresh]
+
+
+def jaccard(one: pa.Array, two: pa.Array, size: int) -> np.ndarray:
+    """Shared among all distinct windows of ``size`` bytes, row by row; every string has at least one."""
+    x, y = _windows(one, size), _windows(two, size)
+    row, word = np.concatenate((x[0], y[0])), np.concatenate((x[1], y[1]))
+    order = np.lexsort((word, row))
+    row, word = row[order], word[order]
+    twice = row[1:][(row[1:] == row[:-1]) & (word[1:] == word[:-1])]
+    both = np.bincount(twice, minlength=len(one))
+    return both / (np.bincount(row, minlength=len(one)) - both)
 
 
 def _verify(plan: Plan):
+    """Candidates that are similar, with their exact similarities in place of their texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, one_a, two_a, one_b, two_b = (c.to_pylist() for c in batch.columns)
-            keep = [
-                _similar(two_a[i], two_b[i], plan.sizes[1], plan.threshold) and _similar(one_a[i], one_b[i], plan.sizes[0], plan.threshold)
-                for i in range(len(a))
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for low in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(low, _ROWS)
+                one, two = (jaccard(part.column(i), part.column(i + 2), plan.sizes[i]) for i in (0, 1))
+                done = pa.RecordBatch.from_arrays([*part.columns[4:], pa.array(one), pa.array(two)], [*part.schema.names[4:], "one", "two"])
+                yield done.filter(pa.array((one >= plan.threshold) & (two >= plan.threshold)))
 
     return run
 
 
 def _classes(df: DataFrame, one: Column, two: Column, row_id: str, plan: Plan) -> DataFrame:
-    """Rows that can take part: id of their class, the two fields, their row id."""
+    """Rows that can take part: class (h, g), the two fields, their row id."""
     rows = df.select(F.col(row_id).cast("long").alias("row_id"), one.cast("string").alias("one"), two.cast("string").alias("two"))
     rows = rows.where(
         (F.length("one") >= plan.sizes[0]) & (F.length("two") >= plan.sizes[1]) & F.col("row_id").isNotNull()
     )
-    return rows.select(F.xxhash64("one", "two").alias("id"), "one", "two", "row_id")
+    return rows.select(F.xxhash64("one", "two").alias("h"), F.xxhash64(F.lit(1), "two", "one").alias("g"), "one", "two", "row_id")
+
+
+def _short(h: str) -> Column:
+    return F.shiftrightunsigned(h, 64 - ID_BITS)
 
 
 def class_links(df: DataFrame, one: Column, two: Column, row_id: str = "read_no", plan: Plan | None = None) -> DataFrame:
-    """(a, b), a < b: classes of equal content that resemble each other in both fields."""
+    """(h_a, g_a, h_b, g_b, est_one, est_two, one, two): classes that resemble each other in both fields.
+
+    A link is listed once.  ``est_*`` are the similarities that the signatures
+    estimate, ``one`` and ``two`` the exact ones.
+    """
     plan = plan or Plan()
-    rows = _classes(df, one, two, row_id, plan)
-    texts = rows.select("id", "one", "two")
-    bands = texts.mapInArrow(_emit_bands(plan), "band long, id long")
-    raw = bands.repartition("band").sortWithinPartitions("band", "id").mapInArrow(
-        _pair_buckets(), "a long, b long, left array<long>, right array<long>"
-    )
-    spread = raw.repartition(F.coalesce("a", F.xxhash64(F.col("left")[0], F.col("right")[0])))
-    crossed = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = spread.select(F.explode(F.when(F.col("a").isNotNull(), F.array(F.struct("a", "b"))).otherwise(crossed)).alias("p")).select(
-        F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")
-    )
-    candidates = cut(pairs.where("a < b").distinct())
-
-    ids = small_side(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 16)
-    texts = texts.join(ids, "id", "left_semi")
-    words = [n * plan.lane_bits // 64 + bool(n * plan.lane_bits % 64) for n in plan.counts]
-    sigs = texts.mapInArrow(_emit_signatures(plan), "id long, sig_one array<long>, sig_two array<long>")
-    sigs = cut(sigs.dropDuplicates(["id"]))  # of copies, signatures are shuffled and not texts
-    side = lambda x: sigs.select(F.col("id").alias(x), F.col("sig_one").alias(f"one_{x}"), F.col("sig_two").alias(f"two_{x}"))
-    padding = [w * 64 // plan.lane_bits - n for w, n in zip(words, plan.counts, strict=True)]
-    close = candidates.join(side("a"), "a").join(side("b"), "b").where(
-        (_equal_lanes("one_a", "one_b", words[0], plan.lane_bits) - padding[0] >= plan.least_equal(0))
-        & (_equal_lanes("two_a", "two_b", words[1], plan.lane_bits) - padding[1] >= plan.least_equal(1))
-    ).select("a", "b")
-
-    close = cut(close)
-    # Each text is fetched once by id; a pair then gathers its two texts.
-    ends = close.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("end")), F.struct(F.col("b").alias("id"), F.lit(1).alias("end")))).alias("e"), "a", "b").select("e.id", "e.end", "a", "b")
-    needed = small_side(ends.select("id").distinct(), 16)
-    content = texts.join(needed, "id", "left_semi").dropDuplicates(["id"])
-    both = ends.join(content, "id").groupBy("a", "b").agg(
-        *(F.max(F.when(F.col("end") == e, F.col(f))).alias(f"{f}_{x}") for e, x in ((0, "a"), (1, "b")) for f in ("one", "two"))
-    )
-    return both.select("a", "b", "one_a", "two_a", "one_b", "two_b").mapInArrow(_verify(plan), "a long, b long")
+    texts = _classes(df, one, two, row_id, plan).select("h", "g", "one", "two")
+    bits = range_bits(df, df.count() * plan.bands)
+    bands = texts.mapInArrow(_emit_bands(plan, bits), "range int, n int, keys binary, ids binary")
+    ranges = bands.repartition("range").sortWithinPartitions("range")
+    small = ranges.mapInArrow(_small_buckets, "a long, b long")
+    blocks = ranges.mapInArrow(_large_buckets, "left array<long>, right array<long>")
+    blocks = blocks.repartition(F.xxhash64(F.col("left")[0], F.col("right")[0]))
+    large = blocks.select(F.explode("left").alias("a"), "right").select("a", F.explode("right").alias("b")).where("a < b")
+
+    # Short id first: all that is done with texts goes by this one shuffle.
+    lanes = _lane_names(plan)
+    signed = texts.mapInArrow(_emit_signatures(plan), "h long, g long, one string, two string, " + ", ".join(f"{n} long" for n in lanes))
+    placed = signed.withColumn("id", _short("h")).repartition("id").dropDuplicates(["id", "h", "g"])
+    shared = placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    pairs = small.unionByName(large).unionByName(shared).repartition("a").dropDuplicates(["a", "b"])
+
+    def end(x: str, *columns: str) -> DataFrame:
+        return placed.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("h", "g", *columns)))
+
+    met = pairs.join(end("a", *lanes), "a").join(end("b", *lanes, "one", "two"), "b")
+    met = met.where((F.col("a") != F.col("b")) | (F.struct("a_h", "a_g") < F.struct("b_h", "b_g")))
+    for f in (0, 1):
+        met = met.withColumn(f"equal_{f}", _equal_lanes(plan, f, "a_", "b_"))
+    chance = 2.0**-plan.lane_bits
+    estimate = [((F.col(f"equal_{f}") / plan.counts[f] - chance) / (1 - chance)).alias(n) for f, n in ((0, "est_one"), (1, "est_two"))]
+    near = met.where((F.col("equal_0") >= plan.least_equal(0)) & (F.col("equal_1") >= plan.least_equal(1)))
+    near = near.select("a", "a_h", "a_g", "b_h", "b_g", "b_one", "b_two", *estimate)
+    both = near.join(end("c", "one", "two"), (F.col("a") == F.col("c")) & (F.col("a_h") == F.col("c_h")) & (F.col("a_g") == F.col("c_g")))
+    both = both.select("c_one", "c_two", "b_one", "b_two", F.col("a_h").alias("h_a"), F.col("a_g").alias("g_a"), F.col("b_h").alias("h_b"), F.col("b_g").alias("g_b"), "est_one", "est_two")
+    return both.mapInArrow(_verify(plan), "h_a long, g_a long, h_b long, g_b long, est_one double, est_two double, one double, two double")
 
 
 def similar_pairs(df: DataFrame, one: Column, two: Column, row_id: str = "read_no", plan: Plan | None = None) -> DataFrame:
@@ -305,18 +355,20 @@ def similar_pairs(df: DataFrame, one: Column, two: Column, row_id: str = "read_n
     Rows with a null field, or a field shorter than its window, are in no pair.
     A pair is listed once, smaller row id first; two rows of equal content are
     similar.  An empty table gives an empty result; repeated row ids make no
-    pair with themselves.  Only use this where pairs of copies are wanted: their
-    number is quadratic in the size of a class; :func:`similar_groups` is not.
+    pair with themselves.  Windows are of bytes: where letters take several, so
+    do windows.  Only use this where pairs of copies are wanted: their number is
+    quadratic in the size of a class; :func:`similar_groups` is not.
     """
     plan = plan or Plan()
-    links = cut(class_links(df, one, two, row_id, plan))
-    rows = _classes(df, one, two, row_id, plan).select("id", "row_id")
-    many = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    wanted = links.unionByName(many)
-    left = wanted.join(rows.select(F.col("id").alias("a"), F.col("row_id").alias("x")), "a")
-    pairs = left.join(rows.select(F.col("id").alias("b"), F.col("row_id").alias("y")), "b")
-    ordered = pairs.where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).where("x != y")
-    return ordered.select(F.least("x", "y").alias(f"{row_id}_a"), F.greatest("x", "y").alias(f"{row_id}_b"))
+    links = class_links(df, one, two, row_id, plan).select("h_a", "g_a", "h_b", "g_b")
+    rows = _classes(df, one, two, row_id, plan).select("h", "g", "row_id")
+    many = rows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = links.unionByName(many.select(F.col("h").alias("h_a"), F.col("g").alias("g_a"), F.col("h").alias("h_b"), F.col("g").alias("g_b")))
+    end = lambda x: rows.select(F.col("h").alias(f"h_{x}"), F.col("g").alias(f"g_{x}"), F.col("row_id").alias(x))
+    pairs = wanted.join(end("a"), ["h_a", "g_a"]).join(end("b"), ["h_b", "g_b"])
+    same = (F.col("h_a") == F.col("h_b")) & (F.col("g_a") == F.col("g_b"))
+    ordered = pairs.where(~same | (F.col("a") < F.col("b"))).where("a != b")
+    return ordered.select(F.least("a", "b").alias(f"{row_id}_a"), F.greatest("a", "b").alias(f"{row_id}_b"))
 
 
 def similar_groups(df: DataFrame, one: Column, two: Column, row_id: str = "read_no", plan: Plan | None = None) -> DataFrame:
@@ -326,22 +378,36 @@ def similar_groups(df: DataFrame, one: Column, two: Column, row_id: str = "read_
     records; ``copies`` counts the records of equal content, ``links`` the
     different contents that this one is similar to.  Records that cannot take
     part (a null or too short field) are groups of their own without links.
+    Row ids must be unique.
     """
     plan = plan or Plan()
-    rows = _classes(df, one, two, row_id, plan).select("id", "row_id")
-    links = cut(class_links(df, one, two, row_id, plan))
+    rows = _classes(df, one, two, row_id, plan).select("h", "g", "row_id")
+    classes = cut(rows.groupBy("h", "g").agg(F.count("*").alias("copies"), F.min("row_id").alias("first")))
+    end = lambda x: classes.select(F.col("h").alias(f"h_{x}"), F.col("g").alias(f"g_{x}"), F.col("first").alias(x))
+    links = class_links(df, one, two, row_id, plan).select("h_a", "g_a", "h_b", "g_b")
+    links = cut(links.join(end("a"), ["h_a", "g_a"]).join(end("b"), ["h_b", "g_b"]).select("a", "b"))
     label = components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    classes = rows.groupBy("id").agg(F.count("*").alias("copies"), F.min("row_id").alias("first"))
-    known = classes.join(label, "id", "left").join(degree, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    first = known.groupBy("part").agg(F.min("first").alias("group_id"))
-    known = known.join(first, "part").select("id", "group_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    known = label.join(degree, "id").withColumnRenamed("id", "first")  # linked classes only; the smallest row is the label
+    known = classes.join(known, "first", "left").select("h", "g", F.coalesce("part", "first").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    able = (F.length("one") >= plan.sizes[0]) & (F.length("two") >= plan.sizes[1])
     everyone = df.select(F.col(row_id).cast("long").alias("row_id"), one.cast("string").alias("one"), two.cast("string").alias("two")).select(
-        "row_id", F.when((F.length("one") >= plan.sizes[0]) & (F.length("two") >= plan.sizes[1]), F.xxhash64("one", "two")).alias("id")
+        "row_id", F.when(able, F.xxhash64("one", "two")).alias("h"), F.when(able, F.xxhash64(F.lit(1), "two", "one")).alias("g")
     )
-    return everyone.join(known, "id", "left").select(
+    return everyone.join(known, ["h", "g"], "left").select(
         F.col("row_id").alias(row_id),
         F.coalesce("group_id", "row_id").alias("group_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),
     )
+
+
+def estimate_report(df: DataFrame, one: Column, two: Column, row_id: str = "read_no", plan: Plan | None = None) -> DataFrame:
+    """(field, links, mean_similarity, mean_estimate, mean_error, worst_error) of the signatures, over all links."""
+    links = class_links(df, one, two, row_id, plan)
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("s"), F.col(f"est_{f}").alias("e")) for f in ("one", "two")))
+    rows = links.select(F.inline(each))
+    error = F.abs(F.col("s") - F.col("e"))
+    return rows.groupBy("field").agg(
+        F.count("*").alias("links"), F.avg("s").alias("mean_similarity"), F.avg("e").alias("mean_estimate"), F.avg(error).alias("mean_error"), F.max(error).alias("worst_error")
+    )

@@ -57,6 +57,11 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(_table(spark, sf_dir, "raw_reads"), F.upper("seq"), F.col("qual"))
 
 
+def p3_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the signatures' corrected estimates are from the exact similarities of all links."""
+    return neardup.estimate_report(_table(spark, sf_dir, "raw_reads"), F.upper("seq"), F.col("qual"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(_table(spark, sf_dir, "raw_reads"), F.col("seq"), length=SPAN)
 
@@ -122,7 +127,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_errors, p2_found, p2_counts, p2_bounds, p3_found, p3_groups, p5_found, p5_report, p5_removable,
+        p1_found, p1_errors, p2_found, p2_counts, p2_bounds, p3_found, p3_groups, p3_estimates, p5_found, p5_report, p5_removable,
         p6_found, p6_pieces, p8_packs, p8_summary, p9_mix, p9_shares, p10_found, p10_rates,
     )
 }

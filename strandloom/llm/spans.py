@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from strandloom.llm.neardup import _distinct, _strings
+from strandloom.llm.neardup import _strings
 from strandloom.session import cut as small_side
 
 _CODE = np.full(256, 4, np.uint8)
