@@ -101,9 +101,11 @@ _SCHEMA = pa.schema([("grp", pa.string()), ("layer", pa.int32()), ("cell", pa.in
 def _sketch_partition(depth: int, width: int, groups_in_memory: int):
     """Per input partition: small groups pass as (value, count), large ones as cells.
 
-    ``layer`` -1 carries a group's number of rows, -2 a value with its count.
+    ``layer`` -1 carries a group's number of rows, -2 a value with its count.  A
+    value counts as one cell in each layer, so beyond ``width`` values the cells
+    are fewer.
     """
-    small = depth * width
+    small = width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: dict = {}  # group -> [rows, {value: count}] or a sketch
