@@ -176,6 +176,22 @@ ss as (
   select c.a, c.b, count(*) as n from close c join a x on x.read_no = c.a join a y on y.read_no = c.b and x.w = y.w group by 1, 2
 )
 select ss.a as read_no_a, ss.b as read_no_b from ss join na x on x.read_no = a join na y on y.read_no = b where ss.n * 2 >= x.n + y.n - ss.n""",
+    "p3_groups": f"""with recursive r as (select read_no, upper(seq) as s, qual as q from raw_reads where length(seq) >= 8 and length(qual) >= 4),
+classes as (select s, q, min(read_no) as id, count(*) as copies from r group by s, q),
+a as (select distinct id, substr(s, i, 8) as w from (select id, s, unnest(range(1, length(s) - 6)) as i from classes)),
+b as (select distinct id, substr(q, i, 4) as w from (select id, q, unnest(range(1, length(q) - 2)) as i from classes)),
+na as (select id, count(*) as n from a group by id),
+nb as (select id, count(*) as n from b group by id),
+qs as (select x.id as a, y.id as b, count(*) as n from b x join b y on x.w = y.w and x.id < y.id group by 1, 2),
+near as (select qs.a, qs.b from qs join nb x on x.id = a join nb y on y.id = b where qs.n * 2 >= x.n + y.n - qs.n),
+ss as (select c.a, c.b, count(*) as n from near c join a x on x.id = c.a join a y on y.id = c.b and x.w = y.w group by 1, 2),
+links as (select ss.a, ss.b from ss join na x on x.id = a join na y on y.id = b where ss.n * 2 >= x.n + y.n - ss.n),
+both as (select a, b from links union all select b, a from links),
+reach(id, other) as (select id, id from classes union select reach.id, both.b from reach join both on both.a = reach.other),
+parts as (select id, min(other) as group_id from reach group by id),
+degree as (select a as id, count(*) as links from both group by a)
+select read_no, coalesce(group_id, read_no) as group_id, coalesce(copies, 1) as copies, coalesce(links, 0) as links
+from raw_reads left join classes on upper(seq) = s and qual = q left join parts using (id) left join degree using (id)""",
     "p5_found": f"with {_SHARED} select read_no, cast(span_start as bigint) as span_start, cast(span_end as bigint) as span_end from texts join contents using (s) join spans using (id)",
     "p5_report": f"""with {_SHARED}, shared as (
   select read_no, sum(span_end - span_start) as shared, count(*) as spans from texts join contents using (s) join spans using (id) group by read_no
@@ -183,6 +199,17 @@ select ss.a as read_no_a, ss.b as read_no_b from ss join na x on x.read_no = a j
 select read_no, cast(coalesce(length(seq), 0) as bigint) as letters, cast(coalesce(shared, 0) as bigint) as shared, cast(coalesce(spans, 0) as bigint) as spans,
   case when length(seq) > 0 then coalesce(shared, 0) / length(seq) else 0.0 end as share
 from raw_reads left join shared using (read_no)""",
+    "p5_removable": f"""with {_SHARED},
+owners as (select id, min(read_no) as first_row from texts join contents using (s) group by id),
+occurrences as (select w, id, off, first_row from windows join several using (w) join owners using (id)),
+ranked as (select *, row_number() over (partition by w order by first_row, off) as n from occurrences),
+letters as (select id, n, unnest(range(off, off + {SPAN})) as p from ranked),
+covered as (select id, p, bool_or(n = 1) as kept from letters group by id, p),
+lost as (
+  select read_no, p from texts join contents using (s) join owners using (id) join covered using (id) where not kept or read_no <> first_row
+),
+parts as (select read_no, p, p - row_number() over (partition by read_no order by p) as run from lost)
+select read_no, cast(min(p) as bigint) as span_start, cast(max(p) + 1 as bigint) as span_end from parts group by read_no, run""",
     "p6_found": f"""with s as (
   select seqname, string_split_regex(seq, '[Nn]{{10,}}') as parts, regexp_extract_all(seq, '[Nn]{{10,}}') as fills from named_seqs where length(seq) > {LIMIT}
 ), u as (

@@ -306,6 +306,34 @@ def test_shared_spans(spark, k):
     assert report == {n: sum(e - b for m, b, e in brute_spans(rows, k) if m == n) for n, _ in rows}
 
 
+def test_spans_do_not_depend_on_routes(spark, monkeypatch):
+    """Every anchor hot, chunks of a few records, and hashes that collide: the same spans."""
+    rows = span_rows()
+    df = spark.createDataFrame(rows, "id long, s string").repartition(3)
+    want, removed = brute_spans(rows, 30), sorted(map(tuple, spans.removable_spans(df, F.col("s"), "id", 30).collect()))
+    every = spans._rows(df, F.col("s"), "id", 30).select("text").mapInArrow(spans._emit_anchors(30), "anchor long").distinct().collect()
+    monkeypatch.setattr(spans, "hot_anchors", lambda *_: np.array(sorted(r[0] for r in every), np.int64))
+    assert {tuple(r) for r in spans.shared_spans(df, F.col("s"), "id", 30).collect()} == want
+    assert sorted(map(tuple, spans.removable_spans(df, F.col("s"), "id", 30).collect())) == removed
+
+
+def test_ranks_are_exact(monkeypatch):
+    columns = [np.array(c, np.uint64) for c in ([1, 2, 1, 2, 1], [5, 5, 5, 6, 7])]
+    for mixer in (spans._avalanche, lambda x: x & np.uint64(1)):  # the second makes hashes collide
+        monkeypatch.setattr(spans, "_avalanche", mixer)
+        got = spans._ranks(columns)
+        assert (got[0] == got[2]) and len(set(got.tolist())) == 4
+    assert len(spans._ranks([np.zeros(0, np.uint64)])) == 0
+
+
+def test_span_offsets_count_letters(spark):
+    common = "ACGTTGCAAGCTTAGCATCGATCGGATTCA"
+    rows = [(0, "äöü€" + common), (1, common + "ß"), (2, "日本" + common + "é")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = {tuple(r) for r in spans.shared_spans(df, F.col("s"), "id", 30).collect()}
+    assert got == {(0, 4, 34), (1, 0, 30), (2, 2, 32)}
+
+
 def test_long_texts_have_the_same_spans(spark):
     random.seed(5)
     common = "".join(random.choices("ACGT", k=3000))
