@@ -1,19 +1,23 @@
 """Texts that were cut off, by comparing their last trigram with all trigrams.
 
-The text is split into words, numbers, line ends and markup marks.  Words that
-hold at least 1/1250 of all words stay themselves: at most 1250, the only thing
-that reaches the driver.  Others
-become their class (capitalised, all capitals, lower case, number), so that
-trigrams recur.  All trigrams are counted inside texts, the last ones also as
-ends.  A text is flagged if its last trigram ends texts of another ending (the
-last 80 letters) less than ``rate`` times as often as an average token does.  The rate of a
-rare trigram leans on that of its last two tokens, and theirs on the last one,
-with the weight of ``prior`` occurrences.  A whole sentence or line of markup at
-the end is no cut by definition, however rare.  Half a mark at the end, such as one
-bracket of two, or the beginning of a frequent word is left out of the ending.
-
-Everything is SQL: the two counts are ordinary aggregations with partial sums,
-the corpus is read three times and only words and trigram hashes are shuffled.
+A text is split into words, numbers, line ends and single marks.  Words that
+hold at least ``share`` of all words (1/200, so at most 200 words, the only
+thing that reaches the driver) stay themselves; others become their class
+(capitalised, all capitals, lower case, number), so that trigrams recur.  All
+trigrams are counted inside texts, the last ones also as ends.  A text is
+flagged if its last trigram is frequent inside texts but almost never ends one:
+if it ends texts of another ending less than ``rate`` times as often as an
+average token does.  The rate of a trigram leans on that of its last two tokens,
+and theirs on the last one, with the weight of so many occurrences (``priors``,
+from one token to three).  A last
+word that begins a frequent word without being one may be half a word, and the
+trigram before it is judged.
+
+Nothing else decides: there is no list of endings.  Every text is read to its
+end and whole; blanks and one mark of omission behind the last token are left
+out.  The table is tokenised once for the frequent words and once for the
+trigrams, which then come from a table of the tokens' hashes; everything is SQL
+with partial sums, and only words and trigram hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -23,27 +27,27 @@ from pyspark.sql import functions as F
 
 from strandloom.session import cut
 
-#: Marks that a cut may leave behind it, and blanks.
-_TAIL = r"(?:\\s|…|\\.\\.\\.|\\[\\.\\.\\.\\]|�)+$"
+#: Tokens that texts must share at their ends to count as one ending, as revisions of a page do.
+ENDING = 16
 
-_TOKEN = (
-    r"\\p{L}+|[0-9]+|\\n+|\\[\\[|\\]\\]|\\{\\{+|\\}\\}+|\\{\\||\\|[}|-]|\\x27{2,}|={2,}|<!--|-->|</|/>|&[a-z]+;|[^\\s\\p{L}0-9]"
-)
+TOKEN = r"\\p{L}+|[0-9]+|\\n+|[^\\s\\p{L}0-9]"
 
-#: A token's class without regular expressions: caseless tokens of one letter stay themselves.
+#: A token's class; marks stay themselves, words of letters without case are lower case.
 _CLASS = """
   case when ascii(t) between 48 and 57 then '9' when ascii(t) = 10 then '\\n'
-       when upper(t) = lower(t) then if(ascii(t) > 127 and length(t) > 1, 'a', t)
+       when upper(t) = lower(t) then if(length(t) > 1, 'a', t)
        when upper(t) = t then if(length(t) > 1, 'U', 'A')
-       when lower(t) = t then 'a' when lower(left(t, 1)) = left(t, 1) then 'a' else 'A' end"""
+       when lower(left(t, 1)) = left(t, 1) then 'a' else 'A' end"""
+
+_BLANKS = r"' \\n\\r\\t'"
 
-#: Letters of the end of a text that are looked at: its last tokens lie in them.
-_END = 600
 
-#: Single letters that begin a mark of two.
-_FRAGMENTS = "'[', ']', '{', '}', '<', '</', '/', '&'"
-#: What a line, a list item, a cell or a parameter begins with.
-_OPENERS = r"'^', '\n', '*', '#', ':', '|', '||', '|-', '='"
+def _trimmed(text: str) -> str:
+    """SQL of a text without the blanks, and one mark of omission, behind its last token."""
+    t = f"rtrim({_BLANKS}, {text})"
+    cases = " ".join(f"when endswith(t, '{m}') then rtrim({_BLANKS}, left(t, length(t) - {len(m)}))" for m in ("[...]", "...", "…"))
+    cases += " when endswith(t, '�') then rtrim('�', t)"  # letters of which only some bytes came through
+    return f"transform(array({t}), t -> case {cases} else t end)[0]"
 
 
 def frequent_sql(table: str, text: str, share: float) -> str:
@@ -56,77 +60,52 @@ select t from words where n >= (select sum(n) from words) * {share!r} order by t
 """
 
 
-#: A sentence that ends after a word of four letters, a number or a closing mark,
-#: or a last line that is a whole template, heading, table end, comment or link.
-_WHOLE = (
-    r"(?:(?:\\p{L}{4,}|[0-9]{2,}|\\]\\]|\\)|>|\x27\x27)[.!?][\"”»]?|"
-    r"(?:^|\n)(?:\\{\\{[^{}\n]*\\}\\}|\\}\\}|={2,}[^=\n]+={2,}|\\|\\}|<!--[^\n]*-->|\\[\\[[^\\[\\]\n]*\\]\\]))$"
-)
-
-
-def ends_sql(table: str, row_id: str, text: str) -> str:
-    """SQL of (row_id, tail, whole, tokens): the last four tokens of each text, a hash of its last 80 letters, and
-    whether it ends with a whole sentence or line of markup.
-
-    A text that ends in more blanks than are looked at is trimmed first.
-    """
-    end = f"right(`{text}`, {_END})"
-    kept = f"regexp_replace(if(trim('\\n\\r\\t ' from {end}) = '', right(rtrim('\\n\\r\\t ', `{text}`), {_END}), {end}), '{_TAIL}', '')"
+def shapes_sql(table: str, row_id: str, text: str, known: list[str]) -> str:
+    """SQL of (row_id, tail, half, s): hashes of a text's tokens behind three starts, of its ending, and whether
+    its last token may be half a word; null for texts without tokens."""
+    words = ", ".join(f"'{w}'" for w in known) or "''"
+    start = "xxhash64('^')"
     return f"""
-select row_id, xxhash64(right(t, 80)) as tail, t rlike '{_WHOLE}' as whole, if(size(tokens) > 0, slice(concat(array('^', '^', '^'), tokens), -4, 4), null) as tokens from (
-  select row_id, t, regexp_extract_all(t, '{_TOKEN}', 0) as tokens from (select `{row_id}` as row_id, {kept} as t from {table}))
+select row_id, xxhash64(slice(tokens, greatest(1, size(tokens) - {ENDING - 1}), {ENDING})) as tail,
+  element_at(tokens, -1) not in ({words}) and exists(array({words}), w -> startswith(w, element_at(tokens, -1))) as half,
+  concat(array({start}, {start}, {start}), transform(tokens, t -> xxhash64(case when t in ({words}) then t else {_CLASS} end))) as s
+from (select `{row_id}` as row_id, regexp_extract_all({_trimmed(f"`{text}`")}, '{TOKEN}', 0) as tokens from {table})
+where size(tokens) > 0
 """
 
 
-def flag_sql(table: str, ends: str, text: str, known: list[str], rate: float = 0.8, prior: float = 30.0) -> str:
-    """SQL of (row_id, truncated, lift) over a table or view of texts and the result of ends_sql()."""
-    words = ", ".join(f"'{w}'" for w in known) or "''"
-    shape = f"case when t in ({words}) then t else {_CLASS} end"
-    start = "xxhash64('^')"
-    return rf"""
+def lift_sql(shapes: str, priors: tuple[float, float, float]) -> str:
+    """SQL of (tail, lift) from the result of shapes_sql()."""
+    own = ", ".join(f"max(if(l.k = {k}, greatest(n - l.c, 0), 0)) as n{k}, max(if(l.k = {k}, greatest(e - 1, 0), 0)) as e{k}" for k in (1, 2, 3))
+    one, two, three = priors
+    return f"""
 with grams as (
-  select a, b, c, count(*) as n from (
-    select inline(transform(sequence(3, size(s) - 1), i -> struct(s[i - 2] as a, s[i - 1] as b, s[i] as c))) from (
-      select concat(array({start}, {start}, {start}), transform(tokens, t -> xxhash64({shape}))) as s
-      from (select regexp_extract_all(`{text}`, '{_TOKEN}', 0) as tokens from {table} where `{text}` is not null) where size(tokens) > 0)
-  ) group by a, b, c
+  select `0` as a, `1` as b, `2` as c, count(*) as n
+  from (select inline(arrays_zip(slice(s, 2, size(s) - 3), slice(s, 3, size(s) - 3), slice(s, 4, size(s) - 3))) from {shapes})
+  group by all
 ), grouped as (
   select k, g, sum(n) as n from (
     select inline(array(struct(3 as k, xxhash64(a, b, c) as g, n), struct(2 as k, xxhash64(b, c) as g, n), struct(1 as k, xxhash64(c) as g, n))) from grams
   ) group by k, g
 ), tails as (
-  select tail, count(*) as c, any_value(tokens) as tokens from {ends} where tokens is not null group by tail
-), shaped as (
-  select tail, c, tokens[3] as final, transform(tokens, t -> {shape}) as s from tails
-), marked as (
-  select tail, c, transform(s, x -> xxhash64(x)) as s,
-    s[2] not in ({_OPENERS}) and (final in ({_FRAGMENTS}) or final not in ({words}) and exists(array({words}), w -> startswith(w, final))) as fragment
-  from shaped
+  select tail, count(*) as c, any_value(slice(s, size(s) - 2 - cast(half as int), 3)) as x from {shapes} group by tail
 ), lasts as (
-  select tail, c, inline(array(
-    struct(3 as k, if(fragment, xxhash64(s[0], s[1], s[2]), xxhash64(s[1], s[2], s[3])) as g),
-    struct(2 as k, if(fragment, xxhash64(s[1], s[2]), xxhash64(s[2], s[3])) as g),
-    struct(1 as k, if(fragment, xxhash64(s[2]), xxhash64(s[3])) as g)))
-  from marked
+  select tail, c, inline(array(struct(3 as k, xxhash64(x[0], x[1], x[2]) as g), struct(2 as k, xxhash64(x[1], x[2]) as g), struct(1 as k, xxhash64(x[2]) as g))) from tails
 ), terminal as (
-  select k, g, sum(c) as e from lasts group by k, g
+  select k, g, count(*) as e from lasts group by k, g
 ), rated as (
   select t.k, t.g, g.n, t.e from terminal t join grouped g on g.k = t.k and g.g = t.g
 ), judged as (
-  select l.tail, {", ".join(f"max(if(l.k = {k}, greatest(n - c, 0), 0)) as n{k}, max(if(l.k = {k}, e - c, 0)) as e{k}" for k in (1, 2, 3))}
-  from lasts l left join rated r on l.k = r.k and l.g = r.g group by l.tail
+  select l.tail, {own} from lasts l left join rated r on l.k = r.k and l.g = r.g group by l.tail
 ), base as (
-  select (select sum(c) from tails) / greatest((select sum(n) from grams), 1) as p
-), lifted as (
-  select tail,
-    (e3 + {prior!r} * (e2 + {prior!r} * (e1 + {prior!r} * (select p from base)) / (n1 + {prior!r})) / (n2 + {prior!r})) / (n3 + {prior!r}) / (select p from base) as lift
-  from judged
+  select (select count(*) from tails) / greatest((select sum(n) from grams), 1) as p
 )
-select e.row_id, coalesce(lift < {rate!r} and not whole, false) as truncated, lift from {ends} e left join lifted l on e.tail = l.tail and e.tokens is not null
+select tail, (e3 + {three!r} * (e2 + {two!r} * (e1 + {one!r} * (select p from base)) / (n1 + {one!r})) / (n2 + {two!r})) / (n3 + {three!r}) / (select p from base) as lift
+from judged
 """
 
 
-def truncated_texts(df: DataFrame, row_id: str = "doc_id", text: str = "text", rate: float = 0.8, share: float = 0.0008, prior: float = 30.0) -> DataFrame:
+def truncated_texts(df: DataFrame, row_id: str = "doc_id", text: str = "text", rate: float = 0.8, share: float = 0.005, priors: tuple[float, float, float] = (30.0, 300.0, 3000.0)) -> DataFrame:
     """(``row_id``, ``truncated``, ``lift``) for every row.
 
     ``lift`` is how often the ending ends texts, relative to an average token;
@@ -134,13 +113,16 @@ def truncated_texts(df: DataFrame, row_id: str = "doc_id", text: str = "text", r
     Row ids must be unique; rows of equal text are judged alike.  An empty table
     gives an empty result.  Other columns do not matter.
     """
+    spark: SparkSession = df.sparkSession
     name = "strandloom_truncated_texts"
     df.select(row_id, text).createOrReplaceTempView(name)
-    spark: SparkSession = df.sparkSession
     known = [r[0] for r in spark.sql(frequent_sql(name, text, share)).collect()]  # at most 1 / share words
-    ends = f"{name}_ends"
-    cut(spark.sql(ends_sql(name, row_id, text))).createOrReplaceTempView(ends)  # a few words of each text
-    return spark.sql(flag_sql(name, ends, text, known, rate, prior)).withColumnRenamed("row_id", row_id)
+    shapes = cut(spark.sql(shapes_sql(name, row_id, text, known)))
+    shapes.createOrReplaceTempView(f"{name}_shapes")
+    lifts = spark.sql(lift_sql(f"{name}_shapes", priors))
+    judged = shapes.select("row_id", "tail").join(lifts, "tail").select(F.col("row_id").alias(row_id), "lift")
+    out = df.select(row_id).join(judged, row_id, "left")
+    return out.select(row_id, F.coalesce(F.col("lift") < rate, F.lit(False)).alias("truncated"), "lift")
 
 
 def truncation_rates(df: DataFrame, source: str = "source", row_id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
