@@ -10,11 +10,11 @@ exact comparison of the windows decides about the rest.
 
 Records of equal content are one class from the start, known by 128 bits of
 hash: the search runs over classes, and copies are expanded only where a result
-of row pairs is asked for.  Bands travel packed (see :mod:`blobs`) with 40 bits
-of a class's hash, so a short id may stand for several classes; everything
-behind the candidates goes by the whole class, and classes that share a short
-id are candidates of each other.  Texts are shuffled once, by short id, however
-many there are; nothing is broadcast.
+of row pairs is asked for.  Bands travel packed (see :mod:`blobs`) with as many
+bits of a class's hash as the number of rows asks for, so a short id may stand
+for several classes: texts that are met by short id bring their whole class, and
+classes that share a short id are candidates of each other.  Signatures and
+texts are shuffled once each, by short id; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -123,7 +123,12 @@ def _lanes(values: np.ndarray, bits: int) -> list[np.ndarray]:
     return out
 
 
-ID_BITS = 40
+#: Bits of a short id beyond those that the number of rows has: one class in 2**SPARE_BITS shares its id.
+SPARE_BITS = 13
+
+
+def id_bits(rows: int) -> int:
+    return min(62, max(1, math.ceil(math.log2(max(2, rows))) + SPARE_BITS))
 
 
 class Fresh:
@@ -142,7 +147,7 @@ class Fresh:
         return batch if keep.all() else batch.filter(pa.array(keep))
 
 
-def _emit_bands(plan: Plan, bits: int, least: int = 8 << 20):
+def _emit_bands(plan: Plan, bits: int, short: int, least: int = 16 << 20):
     """A row for each range of band keys and chunk of records: keys by their differences, and short ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +162,7 @@ def _emit_bands(plan: Plan, bits: int, least: int = 8 << 20):
             key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             # The hash is on top, so that ranges are of equal size; the band below it.
             key = (key >> np.uint64(64 - plan.key_bits)) << np.uint64(whole - plan.key_bits) | np.arange(n, dtype=np.uint64)
-            ids = np.repeat(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - ID_BITS), n)
+            ids = np.repeat(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - short), n)
             key = key.ravel()
             order = np.argsort(key)
             key, ids = key[order], ids[order]
@@ -222,7 +227,7 @@ def _large_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _emit_signatures(plan: Plan):
-    """The columns of a class with its packed signature, each class once a task."""
+    """Class and packed signature, each class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, fresh = plan.bands, Fresh()
@@ -233,11 +238,16 @@ def _emit_signatures(plan: Plan):
                     for f, s in ((0, slice(0, n)), (1, slice(n, None)))
                     for lane in _lanes(minima(batch.column(2 + f), plan.sizes[f], plan.multipliers[s], plan.offsets[s]), plan.lane_bits)
                 ]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, lanes)], [*batch.schema.names, *_lane_names(plan)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, lanes)], ["h", *_lane_names(plan)])
 
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class once a task."""
+    yield from map(Fresh(), batches)
+
+
 def _lane_names(plan: Plan) -> list[str]:
     return [f"s{f}_{i}" for f in (0, 1) for i in range(-(-plan.counts[f] * plan.lane_bits // 64))]
 
@@ -306,10 +316,6 @@ def _classes(df: DataFrame, one: Column, two: Column, row_id: str, plan: Plan) -
     return rows.select(F.xxhash64("one", "two").alias("h"), F.xxhash64(F.lit(1), "two", "one").alias("g"), "one", "two", "row_id")
 
 
-def _short(h: str) -> Column:
-    return F.shiftrightunsigned(h, 64 - ID_BITS)
-
-
 def class_links(df: DataFrame, one: Column, two: Column, row_id: str = "read_no", plan: Plan | None = None) -> DataFrame:
     """(h_a, g_a, h_b, g_b, est_one, est_two, one, two): classes that resemble each other in both fields.
 
@@ -317,35 +323,37 @@ def class_links(df: DataFrame, one: Column, two: Column, row_id: str = "read_no"
     estimate, ``one`` and ``two`` the exact ones.
     """
     plan = plan or Plan()
+    rows = df.count()
+    bits, short = range_bits(df, rows * plan.bands), id_bits(rows)
     texts = _classes(df, one, two, row_id, plan).select("h", "g", "one", "two")
-    bits = range_bits(df, df.count() * plan.bands)
-    bands = texts.mapInArrow(_emit_bands(plan, bits), "range int, n int, keys binary, ids binary")
+    bands = texts.mapInArrow(_emit_bands(plan, bits, short), "range int, n int, keys binary, ids binary")
     ranges = bands.repartition("range").sortWithinPartitions("range")
     small = ranges.mapInArrow(_small_buckets, "a long, b long")
     blocks = ranges.mapInArrow(_large_buckets, "left array<long>, right array<long>")
     blocks = blocks.repartition(F.xxhash64(F.col("left")[0], F.col("right")[0]))
     large = blocks.select(F.explode("left").alias("a"), "right").select("a", F.explode("right").alias("b")).where("a < b")
+    met = small.unionByName(large).repartition("a").dropDuplicates(["a", "b"])
 
-    # Short id first: all that is done with texts goes by this one shuffle.
     lanes = _lane_names(plan)
-    signed = texts.mapInArrow(_emit_signatures(plan), "h long, g long, one string, two string, " + ", ".join(f"{n} long" for n in lanes))
-    placed = signed.withColumn("id", _short("h")).repartition("id").dropDuplicates(["id", "h", "g"])
-    shared = placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    pairs = small.unionByName(large).unionByName(shared).repartition("a").dropDuplicates(["a", "b"])
-
-    def end(x: str, *columns: str) -> DataFrame:
-        return placed.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("h", "g", *columns)))
-
-    met = pairs.join(end("a", *lanes), "a").join(end("b", *lanes, "one", "two"), "b")
-    met = met.where((F.col("a") != F.col("b")) | (F.struct("a_h", "a_g") < F.struct("b_h", "b_g")))
-    for f in (0, 1):
-        met = met.withColumn(f"equal_{f}", _equal_lanes(plan, f, "a_", "b_"))
+    of = F.shiftrightunsigned("h", 64 - short)
+    signed = texts.mapInArrow(_emit_signatures(plan), ", ".join(["h long", *(f"{n} long" for n in lanes)]))
+    signed = signed.select(of.alias("id"), *lanes).repartition("id").distinct()
+    side = lambda x: signed.select(F.col("id").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in lanes))
+    known = met.join(side("a"), "a").join(side("b"), "b")
+    equal = [_equal_lanes(plan, f, "a_", "b_") for f in (0, 1)]
     chance = 2.0**-plan.lane_bits
-    estimate = [((F.col(f"equal_{f}") / plan.counts[f] - chance) / (1 - chance)).alias(n) for f, n in ((0, "est_one"), (1, "est_two"))]
-    near = met.where((F.col("equal_0") >= plan.least_equal(0)) & (F.col("equal_1") >= plan.least_equal(1)))
-    near = near.select("a", "a_h", "a_g", "b_h", "b_g", "b_one", "b_two", *estimate)
-    both = near.join(end("c", "one", "two"), (F.col("a") == F.col("c")) & (F.col("a_h") == F.col("c_h")) & (F.col("a_g") == F.col("c_g")))
-    both = both.select("c_one", "c_two", "b_one", "b_two", F.col("a_h").alias("h_a"), F.col("a_g").alias("g_a"), F.col("b_h").alias("h_b"), F.col("b_g").alias("g_b"), "est_one", "est_two")
+    estimate = [((e / plan.counts[f] - chance) / (1 - chance)).alias(n) for f, e, n in zip((0, 1), equal, ("est_one", "est_two"), strict=True)]
+    near = known.where((equal[0] >= plan.least_equal(0)) & (equal[1] >= plan.least_equal(1))).select("a", "b", *estimate)
+    near = near.groupBy("a", "b").agg(F.max("est_one").alias("est_one"), F.max("est_two").alias("est_two"))  # classes may share short ids
+    hashes = _classes(df, one, two, row_id, plan).select(of.alias("id"), "h", "g").distinct()
+    alike = hashes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    near = near.unionByName(alike.select("a", "b", F.lit(None).cast("double").alias("est_one"), F.lit(None).cast("double").alias("est_two")))
+
+    placed = texts.mapInArrow(_once, "h long, g long, one string, two string").withColumn("id", of).repartition("id").dropDuplicates(["id", "h", "g"])
+    end = lambda x: placed.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("h", "g", "one", "two")))
+    both = near.join(end("a"), "a").join(end("b"), "b")
+    both = both.where((F.col("a") != F.col("b")) | (F.struct("h_a", "g_a") < F.struct("h_b", "g_b")))
+    both = both.select("one_a", "two_a", "one_b", "two_b", "h_a", "g_a", "h_b", "g_b", "est_one", "est_two")
     return both.mapInArrow(_verify(plan), "h_a long, g_a long, h_b long, g_b long, est_one double, est_two double, one double, two double")
 
 

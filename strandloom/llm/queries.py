@@ -186,12 +186,12 @@ qs as (select x.id as a, y.id as b, count(*) as n from b x join b y on x.w = y.w
 near as (select qs.a, qs.b from qs join nb x on x.id = a join nb y on y.id = b where qs.n * 2 >= x.n + y.n - qs.n),
 ss as (select c.a, c.b, count(*) as n from near c join a x on x.id = c.a join a y on y.id = c.b and x.w = y.w group by 1, 2),
 links as (select ss.a, ss.b from ss join na x on x.id = a join na y on y.id = b where ss.n * 2 >= x.n + y.n - ss.n),
-both as (select a, b from links union all select b, a from links),
-reach(id, other) as (select id, id from classes union select reach.id, both.b from reach join both on both.a = reach.other),
+sides as (select a, b from links union all select b, a from links),
+reach(id, other) as (select id, id from classes union select reach.id, sides.b from reach join sides on sides.a = reach.other),
 parts as (select id, min(other) as group_id from reach group by id),
-degree as (select a as id, count(*) as links from both group by a)
+degree as (select a as id, count(*) as links from sides group by a)
 select read_no, coalesce(group_id, read_no) as group_id, coalesce(copies, 1) as copies, coalesce(links, 0) as links
-from raw_reads left join classes on upper(seq) = s and qual = q left join parts using (id) left join degree using (id)""",
+from raw_reads r0 left join classes c on upper(r0.seq) = c.s and r0.qual = c.q left join parts on parts.id = c.id left join degree on degree.id = c.id""",
     "p5_found": f"with {_SHARED} select read_no, cast(span_start as bigint) as span_start, cast(span_end as bigint) as span_end from texts join contents using (s) join spans using (id)",
     "p5_report": f"""with {_SHARED}, shared as (
   select read_no, sum(span_end - span_start) as shared, count(*) as spans from texts join contents using (s) join spans using (id) group by read_no

@@ -239,7 +239,7 @@ def test_classes_of_one_short_id_are_compared(spark, monkeypatch):
     rows = near_rows()
     df = spark.createDataFrame(rows, "id long, one string, two string")
     want = {tuple(r) for r in neardup.similar_pairs(df, F.col("one"), F.col("two"), "id").collect()}
-    monkeypatch.setattr(neardup, "ID_BITS", 2)
+    monkeypatch.setattr(neardup, "SPARE_BITS", -4)
     got = [tuple(r) for r in neardup.similar_pairs(df, F.col("one"), F.col("two"), "id").collect()]
     assert want <= set(got) and len(got) == len(set(got))
     assert all(jaccard(rows[a][1], rows[b][1], 8) >= 0.5 and jaccard(rows[a][2], rows[b][2], 4) >= 0.5 for a, b in got)
