@@ -167,17 +167,22 @@ def merged_cells(parts: DataFrame, depth: int, width: int) -> DataFrame:
     """(grp, layer, cell, total, candidate, surplus): the cells of all partitions, merged.
 
     Votes of one candidate add up, and each vote for another candidate cancels
-    one of the strongest.  Both steps are sums by cell that Spark reduces in
-    every partition first, so cells of one group are merged all over the cluster.
+    one of the strongest.  Partitions send a cell once, so both steps follow one
+    shuffle by cell; cells of one group are merged all over the cluster.
     ``layer`` -1 carries the number of rows of the group.
     """
-    values = parts.where("layer = -2").select("grp", F.inline(_cell(depth, width, "candidate")), "total", "candidate", F.col("total").alias("surplus"))
-    votes = parts.where("layer <> -2").unionByName(values)
-    by_candidate = votes.groupBy("grp", "layer", "cell", "candidate").agg(F.sum("total").alias("total"), F.sum("surplus").alias("surplus"))
-    strongest = F.max(F.struct("surplus", "candidate"))
-    cells = by_candidate.groupBy("grp", "layer", "cell").agg(F.sum("total").alias("total"), strongest.alias("top"), F.sum("surplus").alias("votes"))
-    left = F.greatest(F.lit(0).cast("long"), 2 * F.col("top.surplus") - F.col("votes"))
-    return cells.select("grp", "layer", "cell", "total", F.col("top.candidate").alias("candidate"), left.alias("surplus"))
+    one = F.array(F.struct("layer", "cell"))
+    votes = parts.select(
+        "grp", F.inline(F.when(F.col("layer") == -2, _cell(depth, width, "candidate")).otherwise(one)), "total", "candidate",
+        F.when(F.col("layer") == -2, F.col("total")).otherwise(F.col("surplus")).alias("surplus"),
+    )
+    placed = votes.repartition("grp", "layer", "cell")
+    by_candidate = placed.groupBy("grp", "layer", "cell", "candidate").agg(F.sum("total").alias("total"), F.sum("surplus").alias("surplus"))
+    cells = by_candidate.groupBy("grp", "layer", "cell").agg(
+        F.sum("total").alias("total"), F.max_by("candidate", "surplus").alias("candidate"), F.max("surplus").alias("top"), F.sum("surplus").alias("votes")
+    )
+    left = F.greatest(F.lit(0).cast("long"), 2 * F.col("top") - F.col("votes"))
+    return cells.select("grp", "layer", "cell", "total", "candidate", left.alias("surplus"))
 
 
 def frequent_candidates(
