@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from strandloom.session import cut
+from strandloom.session import cut, discard
 
 
 def stretches(df: DataFrame, key: Column, text: Column, run_letters: int = 10, filler: str = "N") -> DataFrame:
@@ -34,20 +34,12 @@ def stretches(df: DataFrame, key: Column, text: Column, run_letters: int = 10, f
     sized = rows.select(
         "key",
         F.length("text").cast("long").alias("length"),
-        F.transform(parts, lambda p: F.struct(F.length(p).cast("long").alias("n"), p.rlike(f"^{f}{{{run_letters},}}$").alias("boundary"))).alias("parts"),
+        F.posexplode(F.transform(parts, lambda p: F.struct(F.length(p).cast("long").alias("n"), p.rlike(f"^{f}{{{run_letters},}}$").alias("boundary")))).alias("i", "p"),
     )
-    placed = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["n"]).alias("at"),
-            F.when(p["boundary"] | (p["n"] == 0), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), (acc["at"] + p["n"]).alias("b")))))
-            .alias("out"),
-        ),
-    )
-    return sized.select("key", "length", F.posexplode(placed["out"]).alias("stretch", "s")).select(
-        "key", "length", "stretch", F.col("s.a").alias("stretch_start"), F.col("s.b").alias("stretch_end")
+    order = Window.partitionBy("key").orderBy("i")
+    placed = sized.withColumn("b", F.sum("p.n").over(order)).where("not p.boundary and p.n > 0")
+    return placed.select(
+        "key", "length", (F.row_number().over(order) - 1).alias("stretch"), (F.col("b") - F.col("p.n")).alias("stretch_start"), F.col("b").alias("stretch_end")
     )
 
 
@@ -90,17 +82,20 @@ def pieces(parts: DataFrame, limit: int, overlap: int) -> DataFrame:
         raise ValueError("overlap must be at least 0 and below limit")
     table = cut(_successors(parts, limit, overlap))
     jump = table.select("key", "node", F.col("next").alias("to"))
-    reached = parts.groupBy("key").agg(F.min("stretch_start").alias("node"))
+    reached = cut(parts.groupBy("key").agg(F.min("stretch_start").alias("node")))
     # Doubling: after round i every node within 2**i pieces of the start is reached.
     size = 0
     while True:
-        reached = cut(reached.unionByName(reached.join(jump, ["key", "node"]).where("to is not null").select("key", F.col("to").alias("node"))).distinct())
+        step = reached.join(jump, ["key", "node"]).where("to is not null").select("key", F.col("to").alias("node"))
+        last, reached = reached, cut(reached.unionByName(step).distinct())
+        discard(last)
         grown = reached.count()
         if grown == size:
             break
         size = grown
         far = jump.select("key", F.col("node").alias("to"), F.col("to").alias("beyond"))
-        jump = cut(jump.where("to is not null").join(far, ["key", "to"]).where("beyond is not null").select("key", "node", F.col("beyond").alias("to")))
+        last, jump = jump, cut(jump.where("to is not null").join(far, ["key", "to"]).where("beyond is not null").select("key", "node", F.col("beyond").alias("to")))
+        discard(last)
     chosen = table.join(reached, ["key", "node"])
     order = Window.partitionBy("key").orderBy("node")
     natural = F.col("next").isNull() | (F.col("next") > F.col("stop"))
@@ -123,13 +118,23 @@ def split_texts(df: DataFrame, key: Column, text: Column, limit: int = 12_000, o
 
 
 def stretches_of_pieces(parts: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(key, seg_start, seg_end): the stretches, put together again from the pieces.
+    """(key, seg_start, seg_end): what the pieces hold between boundaries, put together again.
 
-    Each piece contributes what it holds of a stretch; overlapping parts of a
-    stretch unite.  Whatever the pieces missed would be missing here.
+    A sweep over the edges of pieces and of boundaries, which are what lies
+    between two stretches of ``parts``: a segment is where some piece is open and
+    no boundary.  Letters that no piece holds break a segment or are missing.
     """
-    held = parts.join(cuts, "key").where("piece_start < stretch_end and stretch_start < piece_end")
-    clipped = held.select(
-        "key", "stretch", F.greatest("piece_start", "stretch_start").alias("a"), F.least("piece_end", "stretch_end").alias("b")
-    )
-    return clipped.groupBy("key", "stretch").agg(F.min("a").alias("seg_start"), F.max("b").alias("seg_end")).drop("stretch")
+    follows = Window.partitionBy("key").orderBy("stretch_start")
+    gaps = parts.select("key", F.col("stretch_end").alias("a"), F.lead("stretch_start").over(follows).alias("b")).where("b is not null")
+
+    def edges(rows: DataFrame, begin: str, end: str, piece: int, boundary: int) -> DataFrame:
+        both = F.array(*(F.struct(F.col(c).alias("p"), F.lit(sign * piece).alias("open"), F.lit(sign * boundary).alias("shut")) for c, sign in ((begin, 1), (end, -1))))
+        return rows.select("key", F.inline(both))
+
+    every = edges(cuts, "piece_start", "piece_end", 1, 0).unionByName(edges(gaps, "a", "b", 0, 1))
+    along = Window.partitionBy("key").orderBy("p")
+    steps = every.groupBy("key", "p").agg(F.sum("open").alias("open"), F.sum("shut").alias("shut"))
+    inside = (F.sum("open").over(along) > 0) & (F.sum("shut").over(along) == 0)
+    steps = steps.select("key", "p", inside.alias("inside")).withColumn("was", F.lag("inside", 1, False).over(along))
+    turns = steps.where("inside <> was")  # begins and ends of segments, in turn
+    return turns.select("key", F.col("p").alias("seg_start"), F.lead("p").over(along).alias("seg_end"), "inside").where("inside").drop("inside")

@@ -104,6 +104,11 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_summary(p8_packs(spark, sf_dir), _capacities(spark, sf_dir))
 
 
+def p8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs of each capacity next to best-fit alone and to the program's lower bound."""
+    return packing.pack_bounds(_sized(spark, sf_dir), _capacities(spark, sf_dir))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _table(spark, sf_dir, "mix_targets")
     # Small sources come late, the others early: the weight of a source of less
@@ -128,7 +133,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_errors, p2_found, p2_counts, p2_bounds, p3_found, p3_groups, p3_estimates, p5_found, p5_report, p5_removable,
-        p6_found, p6_pieces, p8_packs, p8_summary, p9_mix, p9_shares, p10_found, p10_rates,
+        p6_found, p6_pieces, p8_packs, p8_summary, p8_bounds, p9_mix, p9_shares, p10_found, p10_rates,
     )
 }
 
@@ -218,4 +223,20 @@ select read_no, cast(min(p) as bigint) as span_start, cast(max(p) + 1 as bigint)
   select seqname, n, sum(n + f) over (partition by seqname order by i) - n - f as a from u
 )
 select seqname, cast(a as bigint) as seg_start, cast(a + n as bigint) as seg_end from p where n > 0""",
+    "p6_pieces": f"""with recursive s as (
+  select seqname, string_split_regex(seq, '[Nn]{{10,}}') as parts, regexp_extract_all(seq, '[Nn]{{10,}}') as fills from named_seqs where length(seq) > {LIMIT}
+), u as (
+  select seqname, i, length(parts[i]) as n, coalesce(length(fills[i]), 0) as f from (select *, unnest(range(1, len(parts) + 1)) as i from s)
+), p as (
+  select seqname, n, sum(n + f) over (partition by seqname order by i) - n - f as a from u
+), edges as (
+  select seqname, list(cast(a as bigint) order by a) as starts, list(cast(a + n as bigint) order by a) as ends from p where n > 0 group by seqname
+), walk(seqname, starts, ends, piece, here, best) as (
+  select seqname, starts, ends, 0, starts[1], list_max(list_filter(ends, lambda x: x > starts[1] and x <= starts[1] + {LIMIT})) from edges
+  union all
+  select seqname, starts, ends, piece + 1, n, list_max(list_filter(ends, lambda x: x > n and x <= n + {LIMIT})) from (
+    select *, case when best is null then here + {LIMIT - OVERLAP} else list_min(list_filter(starts, lambda x: x >= best)) end as n from walk
+  ) where n is not null
+)
+select seqname, piece, here as piece_start, coalesce(best, here + {LIMIT}) as piece_end, best is not null as "natural" from walk""",
 }

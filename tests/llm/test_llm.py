@@ -364,6 +364,17 @@ def test_removal_keeps_one_occurrence(spark):
 # pieces -----------------------------------------------------------------------------------
 
 
+def test_segments_need_every_piece(spark):
+    """A piece that is missing shows in the segments that are put together from the pieces."""
+    df = spark.createDataFrame([("k", "A" * 250 + "N" * 12 + "C" * 30)], "key string, text string")
+    parts = pieces.stretches(df, F.col("key"), F.col("text"))
+    cuts = pieces.pieces(parts, 100, 10)
+    whole = {tuple(r) for r in pieces.stretches_of_pieces(parts, cuts).collect()}
+    assert whole == {("k", 0, 250), ("k", 262, 292)}
+    for n in range(cuts.count()):
+        assert {tuple(r) for r in pieces.stretches_of_pieces(parts, cuts.where(F.col("piece") != n)).collect()} != whole
+
+
 def test_pieces(spark):
     random.seed(6)
     rows = []
@@ -430,13 +441,32 @@ def test_token_counts(spark):
 def test_price_finds_the_best_pack():
     rng = np.random.default_rng(0)
     for _ in range(20):
-        sizes = np.unique(rng.integers(1, 12, 4))
-        weights = rng.random(len(sizes))
+        sizes = np.unique(rng.integers(1, 12, 4))[::-1].astype(np.int64)
+        weights = rng.integers(1, 1000, len(sizes))
         counts = packing.price(weights, sizes, 15)
         best = np.zeros(16)
         for room in range(1, 16):
             best[room] = max([best[room - 1], *(best[room - s] + w for s, w in zip(sizes, weights, strict=True) if s <= room)])
-        assert counts @ sizes <= 15 and abs(counts @ weights - best[15]) < 1e-9
+        assert counts @ sizes <= 15 and counts @ weights == best[15]
+
+
+def test_program_beats_best_fit():
+    """Where the largest item that fits is the wrong one, weights find the packs that best-fit misses."""
+    histogram = {51: 2000, 27: 2000, 26: 2000, 23: 4000}
+    packs, figures = packing.plan_packs(histogram, 100)
+    plain = sum(n for _, n in packing._best_fit(histogram, 100))
+    assert figures["bound"] == 3000 and figures["packs"] <= 3030 and plain > 3600 and figures["by_program"] > 0.9 * figures["packs"]
+
+
+def test_program_is_quick_and_near_its_bound():
+    import time
+
+    rng = np.random.default_rng(4)
+    sizes, n = np.unique(np.minimum(1024, np.maximum(1, rng.lognormal(4.5, 1.0, 300_000))).astype(int), return_counts=True)
+    began = time.process_time()
+    packs, figures = packing.plan_packs({int(s): int(k) * 1000 for s, k in zip(sizes, n, strict=True)}, 1024)
+    assert time.process_time() - began < 10
+    assert figures["bound"] <= figures["packs"] <= 1.0005 * figures["bound"] and figures["by_program"] > 0.2 * figures["packs"]
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=25))
