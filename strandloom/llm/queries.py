@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.nucleotide import canonical_read
 from strandloom.llm import frequent, mixing, neardup, packing, pieces, seen, spans, tokens, truncated
+from strandloom.session import cut
 
 #: Production parameters.
 SHARE, LEAST = 0.01, 5
@@ -109,16 +110,27 @@ def p8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_bounds(_sized(spark, sf_dir), _capacities(spark, sf_dir))
 
 
+def _schedules(targets: DataFrame) -> DataFrame:
+    """Small sources come late: the weight of a source of less than a tenth of the mixture stays level for a
+    quarter of the time and then doubles; the others make room for it."""
+    late = targets.where(F.col("target_share") < 0.1)
+    return late.select("source", F.inline(F.array(*(F.struct(F.lit(t).alias("at"), F.lit(w).alias("weight")) for t, w in ((0.0, 1.0), (0.25, 1.0), (1.0, 2.0))))))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _table(spark, sf_dir, "mix_targets")
-    # Small sources come late, the others early: the weight of a source of less
-    # than a tenth of the mixture rises by half over the training time.
-    targets = targets.withColumn("tilt", F.when(F.col("target_share") < 0.1, -0.5).otherwise(0.25))
-    return mixing.in_training_order(mixing.mix(_sized(spark, sf_dir), targets))
+    return mixing.in_training_order(mixing.mix(_sized(spark, sf_dir), targets, _schedules(targets)))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(p9_mix(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+    targets = _table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(_sized(spark, sf_dir), targets, _schedules(targets)), targets)
+
+
+def p9_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each source in each tenth of the token positions, next to its schedule."""
+    targets, sized = _table(spark, sf_dir, "mix_targets"), cut(_sized(spark, sf_dir))
+    return mixing.slices(cut(mixing.mix(sized, targets, _schedules(targets))), sized, targets, _schedules(targets))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +145,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_errors, p2_found, p2_counts, p2_bounds, p3_found, p3_groups, p3_estimates, p5_found, p5_report, p5_removable,
-        p6_found, p6_pieces, p8_packs, p8_summary, p8_bounds, p9_mix, p9_shares, p10_found, p10_rates,
+        p6_found, p6_pieces, p8_packs, p8_summary, p8_bounds, p9_mix, p9_shares, p9_slices, p10_found, p10_rates,
     )
 }
 

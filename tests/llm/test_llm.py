@@ -501,10 +501,21 @@ def test_packs(spark):
     assert packing.pack(df.where("false"), {1: 64}).count() == 0
 
 
+def test_schedules_are_shares_at_every_time():
+    shares, knots = np.array([0.6, 0.3, 0.1]), np.array([0.0, 0.3, 0.7, 1.0])
+    table = mixing.fit_schedules(shares, np.array([[1, 1, 1, 1], [1, 1, 1, 4], [0, 0, 0, 0]], float), knots)
+    assert np.allclose(table.sum(0), 1) and np.allclose(((table[:, 1:] + table[:, :-1]) / 2 * np.diff(knots)).sum(1), shares)
+    assert table[1, 3] > 2 * table[1, 0]
+
+
 def test_due_time_inverts_the_schedule(spark):
-    rows = [(t / 20, tilt) for t in range(21) for tilt in (-1.0, -0.5, 0.0, 0.3, 1.0)]
-    df = spark.createDataFrame([(t, a, t + a * (t - t * t)) for t, a in rows], "t double, a double, done double")
-    assert all(abs(r[0] - r[1]) < 1e-6 for r in df.select("t", mixing.due_time(F.col("done"), F.col("a"))).collect())
+    knots, w = [0.0, 0.25, 0.5, 1.0], [0.4, 0.0, 0.3, 0.9]
+    upto = [0.0, 0.05, 0.0875, 0.3875]
+    times = [t / 40 for t in range(41)]
+    integral = lambda t: next(upto[k] + w[k] * (t - knots[k]) + (w[k + 1] - w[k]) * (t - knots[k]) ** 2 / 2 / (knots[k + 1] - knots[k]) for k in range(3) if t <= knots[k + 1])
+    df = spark.createDataFrame([(t, integral(t)) for t in times], "t double, done double")
+    got = df.select("t", mixing.due_time(F.col("done"), knots, list(map(F.lit, w)), list(map(F.lit, upto)))).collect()
+    assert all(abs(r[0] - r[1]) < 1e-6 for r in got)
 
 
 def test_mix(spark):
@@ -512,8 +523,9 @@ def test_mix(spark):
     docs = [(n, random.choice(["a"] * 6 + ["b"] * 2 + ["c"]), random.randrange(1, 50)) for n in range(2000)]
     docs += [(5000, None, 9), (5001, "a", 0), (5002, "a", None), (5003, "unasked", 7)]
     df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
-    targets = spark.createDataFrame([("a", 0.5, 1, 0.5), ("b", 0.3, 2, 0.0), ("c", 0.2, 3, -0.5)], "source string, target_share double, max_repeats int, tilt double")
-    draws = mixing.mix(df, targets).cache()
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    schedules = spark.createDataFrame([("a", 0.0, 3.0), ("a", 0.5, 2.0), ("a", 1.0, 1.0), ("c", 0.0, 1.0), ("c", 1.0, 3.0)], "source string, at double, weight double")
+    draws = mixing.mix(df, targets, schedules, buckets=4).cache()
     rows = draws.collect()
     repeats = Counter((r["doc_id"], r["repeat_no"]) for r in rows)
     assert max(repeats.values()) == 1 and all(r["repeat_no"] <= {"a": 1, "b": 2, "c": 3}[r["source"]] for r in rows)
@@ -528,6 +540,12 @@ def test_mix(spark):
     assert sum(r["n_tokens"] for r in early if r["source"] == "a") > sum(r["n_tokens"] for r in rows if r["source"] == "a") * 0.58
     order = [r["due"] for r in mixing.in_training_order(draws).collect()]
     assert order == sorted(order) and 0 <= order[0] and order[-1] <= 1
+    at = 0
+    for r in sorted(rows, key=lambda r: (r["due"], r["doc_id"], r["repeat_no"])):
+        assert r["token_start"] == at
+        at += r["n_tokens"]
+    parts = mixing.slices(draws, df, targets, schedules, 5).collect()
+    assert len(parts) == 15 and all(abs(r["share"] - r["scheduled"]) < 0.02 for r in parts), parts
     small = mixing.mix(df, targets, budget=1000).agg(F.sum("n_tokens")).first()[0]
     assert abs(small - 1000) < 80
     assert mixing.mix(df.where("false"), targets).count() == 0
