@@ -17,7 +17,7 @@ from strandloom.functions.cigar import OPS
 from strandloom.functions.nucleotide import NIBBLE_LETTERS
 from strandloom.sources import READ_SCHEMA, bgzf
 from strandloom.sources.fastq import FilePartition
-from strandloom.sources.files import expand
+from strandloom.sources.files import SPLIT, raw, splits
 
 BATCH = 5000
 _TURN = str.maketrans("ACGTacgt", "TGCAtgca")
@@ -98,33 +98,95 @@ def decode(data: bytes, names: list[str]) -> tuple:
     return (ident, seq, qual, flags, name(ref), reverse, place(pos), mapq, cigar or None, name(mate), place(mate_pos), tlen, _tags(data, at + n))
 
 
+#: Records in a row that must be sound where reading begins inside a file.
+SOUND = 8
+
+
+def _sound(data: bytes, at: int, references: int, whole: bool) -> bool:
+    """Whether records follow each other from ``at`` on, SOUND of them or up to the end of the data."""
+    for n in range(SOUND):
+        if at + 36 > len(data):
+            return n > 1 or whole and at == len(data)
+        size, ref, pos, name, _, _, ops, _, letters, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+        least = 32 + name + 4 * ops + (letters + 1) // 2 + letters
+        if not (-1 <= ref < references and -1 <= mate < references and pos >= -1 and mate_pos >= -1 and name > 0 and letters >= 0 and least <= size < 1 << 28):
+            return False
+        end = at + 36 + name - 1
+        if end < len(data) and (data[end] != 0 or not all(32 < c < 127 for c in data[at + 36 : end])):
+            return False
+        at += 4 + size
+    return True
+
+
 class BamReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split: int):
+        self.path, self.split = path, split
 
     def partitions(self) -> list[FilePartition]:
-        return [FilePartition(p) for p in expand(self.path)]
+        return [FilePartition(*x) for x in splits(self.path, self.split, packed_blocks=True)]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        file = os.path.basename(partition.path)
-        with open(partition.path, "rb") as f:
-            stream = io.BufferedReader(bgzf.Reader(f), 1 << 16)
-            names = [n for n, _ in read_header(stream)[1]]
-            rows, at = [], 0
-            while True:
-                size = stream.read(4)
-                if size:
-                    rows.append((file, at, *decode(stream.read(struct.unpack("<i", size)[0]), names)))
-                    at += 1
-                if rows and (not size or len(rows) == BATCH):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        with raw(partition.path) as f:
+            head = io.BufferedReader(bgzf.Reader(f), 1 << 16)
+            names = [n for n, _ in read_header(head)[1]]
+            stream = self._first(f, partition, len(names))
+            rows: list[tuple] = []
+            while stream is not None and stream.fill(4):
+                place = stream.place()
+                if place >> 16 >= partition.end:
+                    break  # the next range's
+                (size,) = struct.unpack("<i", stream.take(4))
+                if not stream.fill(size):
+                    raise ValueError(f"{partition.path} ends within a record")
+                rows.append((partition.path, place, *decode(stream.take(size), names)))
+                if len(rows) == BATCH:
+                    yield self._batch(rows)
                     rows = []
-                if not size:
-                    return
+            if rows:
+                yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+    @staticmethod
+    def _first(f, partition: FilePartition, references: int) -> bgzf.Placed | None:
+        """The stream at the first record that begins in the range: behind the header, or where sound records begin."""
+        if not partition.begin:
+            stream = bgzf.Placed(f, 0)
+            stream.fill(12)
+            text = struct.unpack_from("<i", stream.data, 4)[0]
+            stream.fill(12 + text)
+            count = struct.unpack_from("<i", stream.data, 8 + text)[0]
+            stream.take(12 + text)
+            for _ in range(count):
+                stream.fill(4)
+                n = struct.unpack("<i", stream.take(4))[0] + 4
+                stream.fill(n)
+                stream.take(n)
+            return stream
+        begin = bgzf.first_block(f, partition.begin)
+        if begin is None or begin >= partition.end:
+            return None
+        stream = bgzf.Placed(f, begin)
+        while True:
+            more = stream.fill(len(stream.data) + (1 << 18))
+            for at in range(len(stream.data)):
+                if _sound(stream.data, at, references, not more):
+                    stream.at = at
+                    return stream
+            if not more:
+                return None  # the rest of a record, or the end block
 
 
 class BamSource(DataSource):
-    """``spark.read.format("reads_bam").load(path)``: one partition a file.  Option ``path``."""
+    """``spark.read.format("reads_bam").load(path)``, in ranges of ``splitBytes`` compressed bytes.
+
+    ``_file`` is the whole path, ``_ord`` the place of the record: offset of its
+    block times 65536 and place in the block.  A range begins at the first block
+    and there at the first of several sound records in a row; ``splitBytes`` 0
+    reads a file in one task.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -134,7 +196,7 @@ class BamSource(DataSource):
         return READ_SCHEMA
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options["path"])
+        return BamReader(self.options["path"], int(self.options.get("splitBytes", SPLIT)))
 
 
 def _bin(begin: int, end: int) -> int:

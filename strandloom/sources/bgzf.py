@@ -65,6 +65,56 @@ class Reader(io.RawIOBase):
         return n
 
 
+def first_block(f, begin: int) -> int | None:
+    """Offset of the first block at or behind ``begin``: one that another block or the end of the file follows."""
+    f.seek(begin)
+    data = f.read(3 << 16)
+    at = data.find(b"\x1f\x8b\x08\x04")
+    while at >= 0:
+        f.seek(begin + at)
+        try:
+            next(blocks(f))
+            following = f.read(4)
+            if not following or following == b"\x1f\x8b\x08\x04":
+                return begin + at
+        except (ValueError, zlib.error, struct.error, StopIteration):
+            pass
+        at = data.find(b"\x1f\x8b\x08\x04", at + 1)
+    return None
+
+
+class Placed:
+    """Payload bytes from a block on, each with the offset of its block and its place there."""
+
+    def __init__(self, f, begin: int):
+        f.seek(begin)
+        self.f, self.source = f, blocks(f)
+        self.data, self.starts, self.at = b"", [], 0
+
+    def fill(self, n: int) -> bool:
+        """At least ``n`` bytes are at hand from the current place on."""
+        while len(self.data) - self.at < n:
+            offset = self.f.tell()
+            block = next(self.source, None)
+            if block is None:
+                return False
+            if self.at > 1 << 20:
+                self.starts = [(a - self.at, o) for a, o in self.starts if a - self.at > -(1 << 16)]
+                self.data, self.at = self.data[self.at :], 0
+            self.starts.append((len(self.data), offset))
+            self.data += block
+        return True
+
+    def place(self) -> int:
+        """Offset of the block times 65536 and the place in it."""
+        begin, offset = max((x for x in self.starts if x[0] <= self.at), key=lambda x: (x[0], x[1]))
+        return (offset << 16) + self.at - begin
+
+    def take(self, n: int) -> bytes:
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+
 class Writer:
     """Collects bytes into full blocks; closing adds the end block."""
 

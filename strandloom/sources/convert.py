@@ -55,11 +55,11 @@ def write(df: DataFrame, path: str, format: str, references: DataFrame | None =
     if format == "fastq":
         fastq.write_text(df, path, order, mode)
     elif format == "sam":
-        sam.write(df, path, sam.default_header(df.sparkSession, references), ["_ord"], mode)
+        sam.write(df, path, sam.default_header(df.sparkSession, references), order, mode)
     elif format == "bam":
         if references is None:
             references = df.sparkSession.createDataFrame([], "seqname string, length long")
-        bam.write(df, path, references, overwrite=mode == "overwrite")
+        bam.write(df, path, references, order=order, overwrite=mode == "overwrite")
     elif format == "archive":
         archive.write(df, path, mode=mode)
     elif format == "null":

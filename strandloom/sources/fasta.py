@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from strandloom.sources.fastq import FilePartition
-from strandloom.sources.files import expand, opened
+from strandloom.sources.files import SPLIT, Lines, lines_from, packing_of, splits
 
 _ARROW = pa.schema([("seqname", pa.string()), ("seq", pa.string()), ("length", pa.int64())])
 
 
-def sequences(lines: Iterator[bytes]) -> Iterator[tuple[str, str]]:
-    """(name up to the first blank, letters).  A record without letters is an error."""
+def sequences(lines: Lines, end: int | None = None) -> Iterator[tuple[str, str]]:
+    """(name up to the first blank, letters) of the records that begin before ``end``.
+
+    A record without letters is an error.
+    """
     name, parts = None, []
-    for line in lines:
-        line = line.strip()
+    while (item := lines.next()) is not None:
+        at, line = item[0], item[1].strip()
         if line.startswith(b">"):
             if name is not None:
                 yield name, _letters(name, parts)
+                name = None
+            if end is not None and at >= end:
+                return
             words = line[1:].split(None, 1)
             name, parts = (words[0].decode() if words else ""), []
         elif line:
@@ -40,20 +46,26 @@ def _letters(name: str, parts: list[bytes]) -> str:
 
 
 class FastaReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split: int):
+        self.path, self.split = path, split
 
     def partitions(self) -> list[FilePartition]:
-        return [FilePartition(p) for p in expand(self.path)]
+        return [FilePartition(*x) for x in splits(self.path, self.split)]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        with opened(partition.path) as f:
-            for name, seq in sequences(iter(f)):
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seq]), pa.array([len(seq)], pa.int64())], schema=_ARROW)
+        lines = lines_from(partition.path, partition.begin)
+        while partition.begin and (item := lines.next()) is not None:
+            if item[1].startswith(b">"):
+                lines.back(item)
+                break
+        end = partition.end if packing_of(partition.path) == "none" else None
+        for name, seq in sequences(lines, end):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seq]), pa.array([len(seq)], pa.int64())], schema=_ARROW)
+        lines.f.close()
 
 
 class FastaSource(DataSource):
-    """``spark.read.format("reads_fasta").load(path)``: seqname, seq, length."""
+    """``spark.read.format("reads_fasta").load(path)``: seqname, seq, length; plain files in ranges of ``splitBytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -63,7 +75,7 @@ class FastaSource(DataSource):
         return "seqname string, seq string, length long"
 
     def reader(self, schema) -> FastaReader:
-        return FastaReader(self.options["path"])
+        return FastaReader(self.options["path"], int(self.options.get("splitBytes", SPLIT)))
 
 
 def repeated_names(names: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from strandloom.sources.files import expand, opened
+from strandloom.sources.files import SPLIT, Lines, lines_from, packing_of, splits
 
 BATCH = 5000
 FASTQ_SCHEMA = "_file string, _ord long, id string, seq string, qual string"
@@ -22,66 +23,94 @@ _ARROW = pa.schema([("_file", pa.string()), ("_ord", pa.int64()), ("id", pa.stri
 @dataclass
 class FilePartition(InputPartition):
     path: str
+    begin: int
+    end: int
 
 
-def records(lines: Iterator[bytes]) -> Iterator[tuple[str, str, str | None]]:
-    """(id, seq, qual) of FASTQ lines.
+def records(lines: Lines) -> Iterator[tuple[int, str, str, str | None]]:
+    """(offset, id, seq, qual) of FASTQ lines.
 
     A header begins with @ or >; blank lines before it are skipped, carriage
     returns dropped, and what follows + is ignored.  The sequence is one line,
     possibly empty.  Without a + line the record has no quality.  The last line
     needs no end.
     """
-    text = (line.rstrip(b"\r\n") for line in lines)
-    held = None
     while True:
-        head = held if held is not None else next((x for x in text if x), None)
-        held = None
+        head = lines.next()
+        while head is not None and not head[1]:
+            head = lines.next()
         if head is None:
             return
-        if head[:1] not in (b"@", b">"):
-            raise ValueError(f"a read must begin with @ or >, not {head[:20]!r}")
-        name = head[1:].decode("utf-8", "surrogateescape")
-        seq = next(text, b"")
-        plus = next((x for x in text if x), None)
-        if plus is None or not plus.startswith(b"+"):
-            held = plus
-            yield name, seq.decode("ascii"), None
-            if plus is None:
-                return
+        at, line = head
+        if line[:1] not in (b"@", b">"):
+            raise ValueError(f"a read must begin with @ or >, not {line[:20]!r}")
+        name = line[1:].decode("utf-8", "surrogateescape")
+        seq = (lines.next() or (0, b""))[1]
+        plus = lines.next()
+        while plus is not None and not plus[1]:
+            plus = lines.next()
+        if plus is None or not plus[1].startswith(b"+"):
+            if plus is not None:
+                lines.back(plus)
+            yield at, name, seq.decode("ascii"), None
             continue
-        qual = next(text, b"")
+        qual = (lines.next() or (0, b""))[1]
         if len(qual) != len(seq):
             raise ValueError(f"read {name!r} has {len(seq)} letters and {len(qual)} qualities")
-        yield name, seq.decode("ascii"), qual.decode("ascii")
+        yield at, name, seq.decode("ascii"), qual.decode("ascii")
+
+
+def to_first_record(lines: Lines) -> None:
+    """Skip lines of a read that begins before the range.
+
+    A quality may begin like a header.  But two lines behind a header with @
+    comes a +, and two behind such a quality a sequence; behind a header with >
+    comes a sequence, and behind such a quality a header.
+    """
+    while True:
+        ahead = [x for x in (lines.next() for _ in range(4)) if x is not None]
+        if not ahead:
+            return
+        text = [x[1] for x in ahead] + [b""] * (4 - len(ahead))
+        full = text[0].startswith(b"@") and text[2].startswith(b"+") and len(text[1]) == len(text[3])
+        short = text[0].startswith(b">") and len(ahead) > 1 and re.fullmatch(rb"[A-Za-z.*-]*", text[1]) and (text[2][:1] in (b"@", b">", b"+") or len(ahead) < 3)
+        for x in reversed(ahead if full or short else ahead[1:]):
+            lines.back(x)
+        if full or short:
+            return
 
 
 class FastqReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split: int):
+        self.path, self.split = path, split
 
     def partitions(self) -> list[FilePartition]:
-        return [FilePartition(p) for p in expand(self.path)]
+        return [FilePartition(*x) for x in splits(self.path, self.split)]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        name, rows, at = os.path.basename(partition.path), [], 0
+        rows: list[tuple] = []
 
-        def batch(first: int) -> pa.RecordBatch:
-            ids, seqs, quals = zip(*rows, strict=True)
-            n = len(rows)
+        def batch() -> pa.RecordBatch:
+            ords, ids, seqs, quals = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([name] * n), pa.array(range(first, first + n), pa.int64()), pa.array(ids, pa.string()), pa.array(seqs, pa.string()), pa.array(quals, pa.string())],
+                [pa.array([partition.path] * len(rows)), pa.array(ords, pa.int64()), pa.array(ids, pa.string()), pa.array(seqs, pa.string()), pa.array(quals, pa.string())],
                 schema=_ARROW,
             )
 
-        with opened(partition.path) as f:
-            for record in records(iter(f)):
-                rows.append(record)
-                if len(rows) == BATCH:
-                    yield batch(at)
-                    at, rows = at + len(rows), []
+        plain = packing_of(partition.path) == "none"
+        lines = lines_from(partition.path, partition.begin)
+        if partition.begin:
+            to_first_record(lines)
+        for record in records(lines):
+            if plain and record[0] >= partition.end:
+                break  # the next range's
+            rows.append(record)
+            if len(rows) == BATCH:
+                yield batch()
+                rows = []
+        lines.f.close()
         if rows:
-            yield batch(at)
+            yield batch()
 
 
 @dataclass
@@ -133,7 +162,12 @@ def format_record(name: str, seq: str | None, qual: str | None) -> str:
 
 
 class FastqSource(DataSource):
-    """``spark.read.format("reads_fastq").load(path)``; gzip and bzip2 by content.  Option ``path``."""
+    """``spark.read.format("reads_fastq").load(path)``; gzip and bzip2 by content.
+
+    ``_file`` is the whole path and ``_ord`` the offset of the read in the
+    (decompressed) file.  Plain files are read in ranges of ``splitBytes``, a
+    compressed one in one task.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -143,7 +177,7 @@ class FastqSource(DataSource):
         return FASTQ_SCHEMA
 
     def reader(self, schema) -> FastqReader:
-        return FastqReader(self.options["path"])
+        return FastqReader(self.options["path"], int(self.options.get("splitBytes", SPLIT)))
 
     def writer(self, schema, overwrite: bool) -> FastqWriter:
         return FastqWriter(self.options["path"], overwrite)

@@ -8,7 +8,6 @@ import gzip
 import io
 import os
 import re
-from pathlib import Path
 
 #: Magic numbers, header records of SAM text, bytes looked at.
 GZIP, BZIP2, BAM, PARQUET = b"\x1f\x8b", b"BZh", b"BAM\x01", b"PAR1"
@@ -16,32 +15,116 @@ SAM_RECORDS = (b"@HD\t", b"@SQ\t", b"@RG\t", b"@PG\t", b"@CO\t")
 PEEK = 1023
 
 
+#: Bytes of one partition of a file that can be split.
+SPLIT = 128 << 20
+
+
+def _system(path: str):
+    """(file system, path in it): the machine's own for plain paths, any that pyarrow knows for others (hdfs, s3, ..)."""
+    from pyarrow import fs
+
+    path = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 def expand(paths: str) -> list[str]:
-    """Files behind comma-separated paths, folders and patterns, sorted; hidden files are left out."""
-    out = []
+    """Files behind comma-separated paths, folders and patterns, sorted; hidden files are left out.
+
+    Patterns are for plain paths only.  Paths are whole, so equal names in two
+    folders stay apart.
+    """
+    from pyarrow import fs
+
+    out, missing = [], []
     for path in paths.split(","):
         path = re.sub(r"^file:/+", "/", path.strip())
-        found = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
+        found = sorted(glob.glob(path)) if "://" not in path and glob.has_magic(path) else [path]
         for item in found:
-            if os.path.isdir(item):
-                out += sorted(str(p) for p in Path(item).rglob("*") if p.is_file() and not p.name.startswith(("_", ".")))
+            system, inside = _system(item)
+            root = item[: len(item) - len(inside)] if "://" in item and item.endswith(inside) else ""
+            info = system.get_file_info(inside)
+            if info.type == fs.FileType.Directory:
+                below = system.get_file_info(fs.FileSelector(inside, recursive=True))
+                shown = lambda x: not any(n.startswith(("_", ".")) for n in x.path[len(inside) :].split("/"))
+                out += sorted(root + x.path for x in below if x.type == fs.FileType.File and shown(x))
+            elif info.type == fs.FileType.NotFound:
+                missing.append(item)
             else:
-                out.append(item)
-    missing = [p for p in out if not os.path.exists(p)]
+                out.append(root + info.path)
     if missing or not out:
         raise FileNotFoundError(f"no such file: {missing or paths}")
     return out
 
 
-def opened(path: str) -> io.BufferedReader:
-    """The file's bytes, decompressed by content."""
-    with open(path, "rb") as f:
+def raw(path: str):
+    """The file's bytes as a seekable stream, on any file system."""
+    system, inside = _system(path)
+    return system.open_input_file(inside)
+
+
+def size_of(path: str) -> int:
+    system, inside = _system(path)
+    return system.get_file_info(inside).size
+
+
+def packing_of(path: str) -> str:
+    """none, gzip or bzip2, by content."""
+    with raw(path) as f:
         head = f.read(3)
-    if head[:2] == GZIP:
-        return io.BufferedReader(gzip.open(path))
-    if head == BZIP2:
-        return io.BufferedReader(bz2.open(path))
-    return open(path, "rb")
+    return "gzip" if head[:2] == GZIP else "bzip2" if head == BZIP2 else "none"
+
+
+def opened(path: str) -> io.BufferedIOBase:
+    """The file's bytes, decompressed by content."""
+    packing = packing_of(path)
+    f = raw(path)
+    if packing == "gzip":
+        return io.BufferedReader(gzip.GzipFile(fileobj=f))
+    if packing == "bzip2":
+        return io.BufferedReader(bz2.BZ2File(f))
+    return io.BufferedReader(f, 1 << 20)
+
+
+def splits(paths: str, split: int, packed_blocks: bool = False) -> list[tuple[str, int, int]]:
+    """(path, begin, end): byte ranges of about ``split`` bytes; compressed files are whole unless their blocks are known."""
+    out = []
+    for path in expand(paths):
+        size = size_of(path)
+        if split <= 0 or not packed_blocks and packing_of(path) != "none":
+            out.append((path, 0, max(1, size)))
+            continue
+        out += [(path, at, min(at + split, size)) for at in range(0, max(1, size), split)]
+    return out
+
+
+class Lines:
+    """Lines of a stream with the offset of each; lines can be put back."""
+
+    def __init__(self, f: io.BufferedIOBase, at: int = 0):
+        self.f, self.at, self.held = f, at, []
+
+    def next(self) -> tuple[int, bytes] | None:
+        """(offset, line without its end), or None at the end of the stream."""
+        if self.held:
+            return self.held.pop()
+        line = self.f.readline()
+        if not line:
+            return None
+        begin, self.at = self.at, self.at + len(line)
+        return begin, line.rstrip(b"\r\n")
+
+    def back(self, line: tuple[int, bytes]) -> None:
+        self.held.append(line)
+
+
+def lines_from(path: str, begin: int) -> Lines:
+    """Lines that begin at or behind an offset of a plain file, or all of a compressed one."""
+    f = opened(path)
+    if begin == 0:
+        return Lines(f)
+    f.seek(begin - 1)
+    skipped = f.readline()  # ends at begin if a line starts there
+    return Lines(f, begin - 1 + len(skipped))
 
 
 def looks_like_fastq(head: bytes) -> bool:
@@ -64,9 +147,7 @@ def sniff(path: str) -> tuple[str, str]:
         if os.path.isdir(os.path.join(path, "blocks")) and os.path.isdir(os.path.join(path, "reads")):
             return "archive", "none"
         raise ValueError(f"format of {path} is not known")
-    with open(path, "rb") as f:
-        start = f.read(3)
-    packing = "gzip" if start[:2] == GZIP else "bzip2" if start == BZIP2 else "none"
+    packing = packing_of(path)
     with opened(path) as f:
         head = f.read(PEEK)
     if head.startswith(BAM):

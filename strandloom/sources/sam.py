@@ -19,7 +19,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     number in the split, which sorts as the file does; gaps do no harm.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("_file"),
+        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("_file"),
         (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("_ord"),
         "value",
     )
@@ -123,9 +123,11 @@ def write(df: DataFrame, path: str, header: DataFrame | None = None, order: list
     """SAM lines through Spark's text sink; the first file begins with the header."""
     order = order or ["_ord"]
     header = header if header is not None else default_header(df.sparkSession)
-    top = header.select(F.lit(0).alias("_rank"), *(F.col("line_no").cast("long").alias(f"_o{i}") for i in range(len(order))), header_text(header).alias("value"))
-    body = df.select(F.lit(1).alias("_rank"), *(F.col(c).cast("long").alias(f"_o{i}") for i, c in enumerate(order)), as_text(df).alias("value"))
-    keys = ["_rank", *(f"_o{i}" for i in range(len(order)))]
+    kinds = dict(df.select(*order).dtypes)
+    none = [F.lit(None).cast(kinds[c]).alias(f"_o{i}") for i, c in enumerate(order)]
+    top = header.select(F.lit(0).alias("_rank"), F.col("line_no").alias("_line"), *none, header_text(header).alias("value"))
+    body = df.select(F.lit(1).alias("_rank"), F.lit(0).alias("_line"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), as_text(df).alias("value"))
+    keys = ["_rank", "_line", *(f"_o{i}" for i in range(len(order)))]
     top.unionByName(body).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.mode(mode).text(path)
 
 

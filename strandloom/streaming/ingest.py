@@ -17,9 +17,13 @@ from strandloom.sources.sam import parse_alignments
 
 
 def stream_sam(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
-    """A stream of the alignments of SAM files that appear in a folder."""
-    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    numbered = lines.select(F.col("_metadata.file_name").alias("_file"), F.lit(0).cast("long").alias("_ord"), F.regexp_replace("value", "\r$", "").alias("value"))
+    """A stream of the alignments of SAM files that appear in a folder; ``_ord`` is the line.
+
+    A stream can't number rows, so a file is read as one value, which limits it to 2 GB.
+    """
+    whole = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).option("wholetext", True).text(folder)
+    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("_file")
+    numbered = whole.select(file, F.posexplode(F.split("value", "\r?\n")).alias("_ord", "value")).withColumn("_ord", F.col("_ord").cast("long"))
     return parse_alignments(numbered.where("value not like '@__\\t%' and value != ''"))
 
 
@@ -82,11 +86,12 @@ def _delta(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def identifier_matches(stream: DataFrame) -> DataFrame:
     """(_file, read_no, matches, tokens): how much of each identifier repeats the one before.
 
-    State is one identifier a file.  Within a micro-batch rows are ordered, all
+    Without ``read_no``, as from ``stream_sam``, it is ``_ord``.  State is one identifier a file.  Within a micro-batch rows are ordered, all
     of a file in one task; a file's micro-batches must arrive in order, as those
     of ``write_in_order`` do.
     """
-    rows = stream.select("_file", "_ord", "read_no", ident.tokens("id").alias("tokens"))
+    number = F.col("read_no") if "read_no" in stream.columns else F.col("_ord")
+    rows = stream.select("_file", "_ord", number.alias("read_no"), ident.tokens("id").alias("tokens"))
     return rows.groupBy("_file").applyInPandasWithState(_delta, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 

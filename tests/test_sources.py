@@ -14,12 +14,12 @@ FASTQ = b"@a 1\tx\r\nACGT\r\n+a 1\r\nIIII\r\n\n\n@empty\n\n+\n\n>short\nAC\n@las
 
 
 def test_fastq_records():
-    assert list(fastq.records(io.BytesIO(FASTQ))) == [("a 1\tx", "ACGT", "IIII"), ("empty", "", ""), ("short", "AC", None), ("last", "GG", "!!")]
-    assert list(fastq.records(io.BytesIO(b""))) == []
-    assert list(fastq.records(io.BytesIO(b">x\nACGT"))) == [("x", "ACGT", None)]
+    assert [r[1:] for r in fastq.records(files.Lines(io.BytesIO(FASTQ)))] == [("a 1\tx", "ACGT", "IIII"), ("empty", "", ""), ("short", "AC", None), ("last", "GG", "!!")]
+    assert list(fastq.records(files.Lines(io.BytesIO(b"")))) == []
+    assert list(fastq.records(files.Lines(io.BytesIO(b">x\nACGT")))) == [(0, "x", "ACGT", None)]
     for wrong in (b"ACGT\n", b"@a\nACGT\n+\nII\n"):
         with pytest.raises(ValueError):
-            list(fastq.records(io.BytesIO(wrong)))
+            list(fastq.records(files.Lines(io.BytesIO(wrong))))
 
 
 @pytest.mark.parametrize(("name", "pack"), [("x.fastq", bytes), ("x.fastq.gz", gzip.compress), ("x.fastq.bz2", bz2.compress)])
@@ -27,7 +27,8 @@ def test_fastq_source(spark, tmp_path, name, pack):
     (tmp_path / name).write_bytes(pack(FASTQ))
     register(spark)
     rows = spark.read.format("reads_fastq").load(str(tmp_path / name)).orderBy("_ord").collect()
-    assert [(r["_ord"], r["id"], r["seq"], r["qual"]) for r in rows] == [(0, "a 1\tx", "ACGT", "IIII"), (1, "empty", "", ""), (2, "short", "AC", None), (3, "last", "GG", "!!")]
+    starts = [FASTQ.index(x) for x in (b"@a 1", b"@empty", b">short", b"@last")]  # the order of a read is where it begins
+    assert [(r["_ord"], r["id"], r["seq"], r["qual"]) for r in rows] == list(zip(starts, ("a 1\tx", "empty", "short", "last"), ("ACGT", "", "AC", "GG"), ("IIII", "", None, "!!"), strict=True))
     assert files.sniff(str(tmp_path / name)) == ("fastq", {"x.fastq": "none", "x.fastq.gz": "gzip", "x.fastq.bz2": "bzip2"}[name])
 
 
@@ -49,7 +50,7 @@ def test_fasta(spark, tmp_path):
     with pytest.raises(ValueError, match="repeated"):
         fasta.read_dictionary(spark, str(tmp_path / "twice.fa"))
     with pytest.raises(ValueError, match="no letters"):
-        list(fasta.sequences(io.BytesIO(b">a\n>b\nA\n")))
+        list(fasta.sequences(files.Lines(io.BytesIO(b">a\n>b\nA\n"))))
 
 
 SAM = (
@@ -215,3 +216,67 @@ def test_stream_windows(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r["reads"], r["bases"]) for r in spark.sql("select * from windows").collect()} == {(1, 4), (1, 2)}
+
+
+def _nasty_reads(n):
+    """Qualities that begin like headers, reads without letters, reads without quality."""
+    import random
+
+    random.seed(n)
+    out = []
+    for i in range(n):
+        k = random.choice([0, 1, 2, 5, 40])
+        seq = "".join(random.choices("ACGTN", k=k))
+        out.append((f"r{i} x", seq, None if random.random() < 0.15 and k else "".join(random.choices("@>+I!", k=k))))
+    return out
+
+
+@pytest.mark.parametrize("split", [1, 37, 512])
+def test_fastq_ranges_give_the_same_reads(spark, tmp_path, split):
+    register(spark)
+    reads = _nasty_reads(120)
+    for folder, part in (("run1", reads[:70]), ("run2", reads[70:])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.fastq").write_text("".join(fastq.format_record(*r) for r in part))
+    reader = fastq.FastqReader(str(tmp_path), split)
+    got = [(r["_file"], r["_ord"], r["id"], r["seq"], r["qual"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [g[2:] for g in sorted(got)] == reads and len({g[0] for g in got}) == 2
+    if split == 512:
+        df = spark.read.format("reads_fastq").option("splitBytes", split).load(str(tmp_path))
+        assert df.rdd.getNumPartitions() > 3 and df.count() == len(reads)
+
+
+@pytest.mark.parametrize("split", [3, 50])
+def test_fasta_ranges_give_the_same_sequences(tmp_path, split):
+    names = [(f"s{i}", "ACGTN" * (i + 1)) for i in range(12)]
+    (tmp_path / "a.fa").write_text("".join(f">{n} text\n{s[:7]}\n\n{s[7:]}\n" for n, s in names))
+    reader = fasta.FastaReader(str(tmp_path / "a.fa"), split)
+    assert [(r["seqname"], r["seq"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == names
+
+
+def test_bam_ranges_give_the_same_records(spark, tmp_path):
+    rows = [(i, f"read{i}", "ACGT" * (5 + i % 60), "I" * 4 * (5 + i % 60), "chr1" if i % 3 else None, i * 7) for i in range(6000)]
+    df = convert.as_reads(spark.createDataFrame(rows, "_ord long, id string, seq string, qual string, seqname string, pos long")).coalesce(1)
+    references = spark.createDataFrame([("chr1", 100000)], "seqname string, length long")
+    (path,) = bam.write(df.withColumn("_file", F.lit("f")).repartition(1), str(tmp_path / "b"), references, order=["_file"])
+    import os
+
+    one = bam.BamReader(path, 0)
+    whole = [r for p in one.partitions() for b in one.read(p) for r in b.to_pylist()]
+    assert len(whole) == 6000
+    for split in (os.path.getsize(path) // 7, 1000):
+        reader = bam.BamReader(path, split)
+        assert len(reader.partitions()) > 5
+        assert [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == whole
+
+
+def test_several_inputs_do_not_interleave(spark, tmp_path):
+    register(spark)
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "r.fastq").write_text("".join(f"@{folder}{i}\nAC\n+\nII\n" for i in range(50)))
+    for kind in ("sam", "bam", "fastq"):
+        target = str(tmp_path / f"out.{kind}")
+        convert.convert(spark, f"{tmp_path}/x,{tmp_path}/y", target, kind)
+        back = convert.read(spark, target, kind).orderBy("_file", "_ord").collect()
+        assert [r["id"] for r in back] == [f"{f}{i}" for f in "xy" for i in range(50)], kind
