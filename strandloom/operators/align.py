@@ -61,3 +61,9 @@ def align(reads: DataFrame, contigs: DataFrame, row_id: str, seq: str, name: str
 def unaligned(reads: DataFrame, aligned: DataFrame, row_id: str) -> DataFrame:
     """The reads without a placement."""
     return reads.join(aligned.select(row_id), row_id, "left_anti")
+
+
+def route(reads: DataFrame) -> Column:
+    """reference, model or none: aligned reads are coded against their reference, others with letters by the model."""
+    placed = (F.col("flags").bitwiseAND(4) == 0) & F.col("seqname").isNotNull() & F.col("pos").isNotNull() & F.col("cigar").isNotNull()
+    return F.when(placed, "reference").when(F.col("seq") != "", "model").otherwise("none")

@@ -9,14 +9,17 @@ Listing reads ``blocks`` alone; verifying recomputes the checksums.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from strandloom.functions import hashing, tags
 from strandloom.operators.ordered import with_row_number
 from strandloom.session import cut
+from strandloom.sources import files
 
 #: Reads of a block, archive versions that can be read, and the version written.
 BLOCK_READS, VERSIONS, VERSION = 5000, (2, 3, 4), 4
@@ -77,6 +80,46 @@ def block_table(df: DataFrame, part: list[str], order: list[str], reads: int = B
     return both.select(*part, "block", "reads", "bases", *(f"{c}_raw_bytes" for c in COLUMNS), *(F.col(f"crc_{c}").alias(f"{c}_digest") for c in COLUMNS))
 
 
+def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, column, stored) of Parquet files, from their footers."""
+    import pyarrow.parquet as pq
+
+    for frame in frames:
+        rows = []
+        for path in frame["path"]:
+            with files.raw(path) as f:
+                about = pq.ParquetFile(f).metadata
+                for g in range(about.num_row_groups):
+                    for c in range(about.num_columns):
+                        column = about.row_group(g).column(c)
+                        rows.append((path, column.path_in_schema.split(".")[0], column.total_compressed_size))
+        yield pd.DataFrame(rows, columns=["path", "column", "stored"])
+
+
+def stored_bytes(spark: SparkSession, path: str, part: list[str]) -> DataFrame:
+    """(part.., block, <column>_comp_bytes): what each column takes on disk.
+
+    A file's bytes come from its footer and are shared out among its blocks by
+    their raw bytes, so that the sums are those of the files.
+    """
+    rows = _with_text(spark.read.parquet(f"{path}/reads").withColumn("_path", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")))
+    text = {c: F.col("_aux") if c == "aux" else F.col(c) for c in COLUMNS}
+    raw = rows.groupBy("_path", *part, "block").agg(*(F.sum(F.coalesce(F.octet_length(t), F.lit(0))).cast("double").alias(c) for c, t in text.items()))
+    sizes = raw.select(F.col("_path").alias("path")).distinct().mapInPandas(_footers, "path string, column string, stored long")
+    sizes = sizes.groupBy(F.col("path").alias("_path")).pivot("column", list(COLUMNS)).agg(F.sum("stored"))
+    sizes = sizes.select("_path", *(F.col(c).alias(f"_{c}") for c in COLUMNS))
+    along = Window.partitionBy("_path").orderBy(*part, "block")
+    every = Window.partitionBy("_path")
+
+    def share(c: str) -> Column:
+        upto = lambda w: F.round(F.col(f"_{c}") * F.coalesce(F.try_divide(F.sum(c).over(w), F.sum(c).over(every)), F.lit(0.0)))
+        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        return (upto(along.rowsBetween(Window.unboundedPreceding, 0)) - F.coalesce(upto(before), F.lit(0.0))).cast("long")
+
+    shared = raw.join(sizes, "_path").select(*part, "block", *(share(c).alias(c) for c in COLUMNS))
+    return shared.groupBy(*part, "block").agg(*(F.sum(c).alias(f"{c}_comp_bytes") for c in COLUMNS))
+
+
 def write(df: DataFrame, path: str, part: list[str] | None = None, order: list[str] | None = None, reads: int = BLOCK_READS, about: dict | None = None, mode: str = "error") -> None:
     """Store reads with their block table; an existing archive is kept unless mode is "overwrite"."""
     part, order = part or ["_file"], order or ["_ord"]
@@ -85,7 +128,8 @@ def write(df: DataFrame, path: str, part: list[str] | None = None, order: list[s
     rows.repartitionByRange(*part, "block").sortWithinPartitions(*part, "block", *order).write.mode(mode).option("compression", "zstd").parquet(f"{path}/reads")
     # The table describes what was stored, so a damaged write is noticed.
     stored = spark.read.parquet(f"{path}/reads")
-    block_table(stored, part, order, reads).write.mode(mode).parquet(f"{path}/blocks")
+    table = block_table(stored, part, order, reads).join(stored_bytes(spark, path, part), [*part, "block"], "left")
+    table.write.mode(mode).parquet(f"{path}/blocks")
     text = json.dumps({"version": VERSION, "part": part, "order": order, "block_reads": reads, **(about or {})})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/about")
 

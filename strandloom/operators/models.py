@@ -15,8 +15,8 @@ from pyspark.sql import Window
 from strandloom.functions.quality import BIN16, BIN42, DELTA_BIN, DELTA_CAP, phred
 from strandloom.operators.kmers import both_strands, kmer_rows
 
-#: Total at which adaptive counts are halved, caps of the prior tables.
-HALVE_AT, PAIR_CAP, GENOME_CAP = 1 << 15, 250, 100
+#: Caps of the prior tables.
+PAIR_CAP, GENOME_CAP = 250, 100
 
 
 def nucleotide_contexts(df: DataFrame, seq: Column, k: int, keep: list[str] = []) -> DataFrame:  # noqa: B006
@@ -59,24 +59,23 @@ def _log2_factorial(n: Column) -> Column:
     return F.when(n <= 16, F.element_at(small, (F.least(n, F.lit(16)) + 1).cast("int"))).otherwise(series) / math.log(2)
 
 
-def halving_bits(rows: DataFrame, context: list[str], order: list[str], symbol: str, alphabet: int, rate: int = 8) -> DataFrame:
+def halving_bits(rows: DataFrame, context: list[str], order: list[str], symbol: str, alphabet: int, rate: int = 8, delay: int = 1) -> DataFrame:
     """(context.., symbols, bits): code length of a model that forgets.
 
     Counts start at 1, grow by ``rate`` and are halved, to at least 1, when their
-    total exceeds 2**15.  That makes each context a fold in file order, done
+    total exceeds 2**15 at a refresh; shares are those of the last refresh, every
+    ``delay`` symbols.  That makes each context a fold in file order, done
     over Arrow batches of the context's rows: choose contexts fine enough, for
     instance with the file, that one of them fits a task.  ``symbol`` counts from 0.
     """
 
+    from strandloom.operators.codec import Model
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts, total, bits = [1] * alphabet, alphabet, 0.0
+        model, bits = Model(alphabet, rate, delay), 0.0
         for s in pdf.sort_values(order)[symbol]:
-            bits -= math.log2(counts[s] / total)
-            counts[s] += rate
-            total += rate
-            if total > HALVE_AT:
-                counts = [max(1, c // 2) for c in counts]
-                total = sum(counts)
+            bits -= math.log2(model.shares[s] / model.total)
+            model.saw(s)
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in context}, "symbols": [len(pdf)], "bits": [bits]})
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in context)
