@@ -42,8 +42,11 @@ def parse_tags(fields: Column | str) -> Column:
 
     good = F.filter(_col(fields), lambda f: f.rlike("^[A-Za-z][A-Za-z0-9]:[aAcCsSiIfdZHB]:"))
     parsed = F.transform(good, one)
-    last = F.filter(parsed, lambda p, i: ~F.exists(F.slice(F.transform(parsed, lambda q: q["key"]), i + 2, F.size(parsed)), lambda k: k == p["key"]))
-    return F.map_from_entries(last)
+    # Most reads repeat no key; only where one does are the last occurrences picked.
+    keys = F.transform(good, lambda f: F.substring(f, 1, 2))
+    back = F.reverse(keys)
+    last = F.filter(parsed, lambda p, i: F.array_position(back, p["key"]) == F.size(keys) - i)
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), parsed).otherwise(last))
 
 
 def narrow_type(value: Column | str) -> Column:

@@ -23,13 +23,13 @@ def seeds(reads: DataFrame, row_id: str, seq: Column, k: int = SEED_K) -> DataFr
     return out.select(row_id, "text", "seed_no", "at", canonical("word").alias("kmer"), (F.col("word") != canonical("word")).alias("flipped"))
 
 
-def seed_hits(reads: DataFrame, contigs: DataFrame, row_id: str, seq: Column, name: str, text: str, k: int = SEED_K) -> DataFrame:
+def seed_hits(reads: DataFrame, contigs: DataFrame, row_id: str, seq: Column, name: str, text: str, k: int = SEED_K, cap: int | None = HITS) -> DataFrame:
     """(row_id, seed_no, contig, begin, reverse): full-length placements that a seed proposes.
 
-    At most 100 index positions are tried for a seed, the first by contig and
-    position; a placement lies wholly inside its contig.
+    At most ``cap`` index positions are tried for a seed, the first by contig and
+    position, or all with None; a placement lies wholly inside its contig.
     """
-    index = seed_index(contigs, name, text, k, min(SEED_CAP, HITS))
+    index = seed_index(contigs, name, text, k, cap if cap is None else min(SEED_CAP, cap))
     sizes = contigs.select(F.col(name).alias("contig"), F.length(text).alias("size"))
     mine = seeds(reads, row_id, seq, k).withColumn("_n", F.length("text")).drop("text")
     hit = mine.withColumnRenamed("at", "read_at").join(index, "kmer").withColumn("turned", F.col("flipped") != F.col("reverse"))
@@ -38,13 +38,13 @@ def seed_hits(reads: DataFrame, contigs: DataFrame, row_id: str, seq: Column, na
     return placed.select(row_id, "seed_no", "contig", "begin", F.col("turned").alias("reverse"))
 
 
-def align(reads: DataFrame, contigs: DataFrame, row_id: str, seq: str, name: str, text: str, k: int = SEED_K, most: float = MOST_MISMATCHES) -> DataFrame:
+def align(reads: DataFrame, contigs: DataFrame, row_id: str, seq: str, name: str, text: str, k: int = SEED_K, most: float = MOST_MISMATCHES, cap: int | None = HITS) -> DataFrame:
     """(row_id, contig, begin, reverse, mismatches, length): the best placement of each read that has one.
 
     The smallest number of mismatches wins; of equal ones the earlier seed, then
     contig, then position.  Reads without an accepted placement are left out.
     """
-    hits = seed_hits(reads, contigs, row_id, F.col(seq), name, text, k)
+    hits = seed_hits(reads, contigs, row_id, F.col(seq), name, text, k, cap)
     tried = hits.groupBy(row_id, "contig", "begin", "reverse").agg(F.min("seed_no").alias("seed_no"))
     texts = reads.select(row_id, F.upper(seq).alias("query"))
     placed = tried.join(texts, row_id)

@@ -55,15 +55,19 @@ def approximate_lookup(sketch: DataFrame, wanted: DataFrame, depth: int = 4, wid
     return asked.join(sketch, ["layer", "cell"], "left").groupBy("kmer").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
 
 
-def seed_index(contigs: DataFrame, name: str, seq: str, k: int = SEED_K, cap: int = SEED_CAP) -> DataFrame:
+def seed_index(contigs: DataFrame, name: str, seq: str, k: int = SEED_K, cap: int | None = SEED_CAP) -> DataFrame:
     """(kmer, contig, at, reverse): canonical k-mers of contigs with their positions.
 
     At most ``cap`` positions are kept for a k-mer, the first by contig and
-    position; ``reverse`` says that the contig holds the reverse complement.
+    position, or all with None; Spark drops what is beyond the cap in each input
+    partition before the shuffle, so a k-mer of all contigs is no task's.
+    ``reverse`` says that the contig holds the reverse complement.
     """
     rows = kmer_rows(contigs, F.col(seq), k, [name]).select(
         F.col(name).alias("contig"), "at", canonical("kmer").alias("kmer"), (F.col("kmer") != canonical("kmer")).alias("reverse")
     )
+    if cap is None:
+        return rows
     order = Window.partitionBy("kmer").orderBy("contig", "at")
     return rows.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= cap).drop("_no")
 

@@ -8,11 +8,13 @@ of its reads, and the join is on (name, tile) rather than on a few heavy names.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.cigar import offsets, reference_length
-from strandloom.functions.nucleotide import revcomp
+from strandloom.functions.nucleotide import _bytes, revcomp
 from strandloom.functions.nucleotide import tiles as nucleotide_tiles
 
 DIFF_TYPE = "array<struct<op:string,read_at:int,ref_at:bigint,nt:string>>"
@@ -96,15 +98,19 @@ def letters_under(rows: DataFrame, names: DataFrame, row_key: list[str], name: s
     """``rows`` with ``under``: ``length`` upper-case letters of the reference from ``begin``.
 
     ``row_key`` identifies a row.  Beyond the end of the reference there are no
-    letters.  A row fetches each tile it spans and nothing else.
+    letters.  A row within one tile goes to it once, with all its columns; one
+    that spans several fetches each of them and nothing else.
     """
-    first = F.floor(F.col(begin) / tile)
-    last = F.floor((F.col(begin) + F.greatest(length, F.lit(1)) - 1) / tile)
-    asked = rows.select(*row_key, F.col(name).alias("seqname"), F.explode(F.sequence(first, last)).alias("tile"))
-    parts = asked.join(tiles(names, tile), ["seqname", "tile"]).groupBy(*row_key).agg(F.array_sort(F.collect_list(F.struct("tile", "text"))).alias("_t"))
-    whole = F.array_join(F.transform("_t", lambda t: t["text"]), "")
-    at = (F.col(begin) - first * tile + 1).cast("int")
-    return rows.join(parts, row_key, "left").withColumn("under", F.coalesce(F.substring(whole, at, length.cast("int")), F.lit(""))).drop("_t")
+    placed = rows.withColumns({"_first": F.floor(F.col(begin) / tile), "_last": F.floor((F.col(begin) + F.greatest(length, F.lit(1)) - 1) / tile)})
+    at = (F.col(begin) - F.col("_first") * tile + 1).cast("int")
+    text = tiles(names, tile).select(F.col("seqname").alias("_name"), F.col("tile").alias("_tile"), F.col("text").alias("_t"))
+    inside = placed.where("_first = _last or _first is null or _last is null").join(text, (F.col(name) == F.col("_name")) & (F.col("_first") == F.col("_tile")), "left")
+    across = placed.where("_first < _last")
+    asked = across.select(*row_key, F.col(name).alias("_asked"), F.explode(F.sequence("_first", "_last")).alias("_of"))
+    parts = asked.join(text, (F.col("_asked") == F.col("_name")) & (F.col("_of") == F.col("_tile"))).groupBy(*row_key).agg(F.array_sort(F.collect_list(F.struct("_tile", "_t"))).alias("_parts"))
+    whole = F.array_join(F.transform("_parts", lambda t: t["_t"]), "")
+    both = inside.drop("_name", "_tile").unionByName(across.join(parts, row_key, "left").withColumn("_t", whole).drop("_parts"))
+    return both.withColumn("under", F.coalesce(F.substring("_t", at, length.cast("int")), F.lit(""))).drop("_t", "_first", "_last")
 
 
 def fetch(reads: DataFrame, names: DataFrame, row_id: str, tile: int = 4096) -> DataFrame:
@@ -112,28 +118,58 @@ def fetch(reads: DataFrame, names: DataFrame, row_id: str, tile: int = 4096) ->
     return letters_under(reads, names, [row_id], "seqname", "pos", reference_length("cigar"), tile)
 
 
+_DIFF = pa.struct([("op", pa.string()), ("read_at", pa.int32()), ("ref_at", pa.int64()), ("nt", pa.string())])
+_LETTERS = np.array([chr(c) for c in range(256)], object)
+
+
+def _inside(size: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each of the given sizes."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _diffs(cigar: pa.Array, pos: pa.Array, text: pa.Array, under: pa.Array) -> pa.Array:
+    """The differences of a batch of alignments, as diff_encode() describes them."""
+    offsets_ = cigar.offsets.to_numpy().astype(np.int64)
+    ops = cigar.flatten()
+    op = ops.field("op").to_numpy(zero_copy_only=False).astype(str)
+    size = ops.field("len").to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(cigar)), np.diff(offsets_))
+
+    def before(consumed: np.ndarray) -> np.ndarray:
+        upto = np.cumsum(consumed) - consumed
+        return upto - np.append(upto, 0)[np.minimum(offsets_[:-1] - offsets_[0], len(upto))][row]
+
+    read_at, ref_at = before(np.where(np.isin(op, list("MIS=X")), size, 0)), before(np.where(np.isin(op, list("MDN=X")), size, 0))
+    matched, inserted = np.isin(op, list("M=X")), np.isin(op, list("IS"))
+    n = np.where(matched | inserted, np.maximum(size, 0), 0)
+    which, k = np.repeat(np.arange(len(op)), n), _inside(n)
+    (letters, at), (below, base) = _bytes(text), _bytes(under)
+    mine = letters[at[row[which]] + read_at[which] + k]
+    place = ref_at[which] + k
+    length = np.diff(base)[row[which]]
+    theirs = np.append(below, np.uint8(0))[np.where(place < length, base[row[which]] + place, len(below))]
+    keep = inserted[which] | (place >= length) | (mine != theirs)
+    which, k, mine = which[keep], k[keep], mine[keep]
+    counts = np.bincount(row[which], minlength=len(cigar))
+    values = pa.StructArray.from_arrays(
+        [
+            pa.array(op[which], pa.string()), pa.array((read_at[which] + k).astype(np.int32)),
+            pa.array(pos.to_numpy(zero_copy_only=False).astype(np.int64)[row[which]] + ref_at[which] + np.where(matched[which], k, 0)), pa.array(_LETTERS[mine], pa.string()),
+        ],
+        fields=list(_DIFF),
+    )
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
+
+
 def diff_encode(fetched: DataFrame, row_id: str) -> DataFrame:
     """(row_id, seqname, pos, strand, cigar, diff): only what the reference does not say.
 
     M, = and X leave a mismatch for each differing letter, I and S all their
-    letters, D, N and H nothing.
+    letters, D, N and H nothing.  Letters are compared as bytes, a whole Arrow
+    batch at once, and only differences leave it.
     """
-
-    def one(o: Column) -> Column:
-        i = F.sequence(F.lit(0), F.greatest(o["len"] - 1, F.lit(0)))
-        entry = lambda k: F.struct(
-            o["op"].alias("op"),
-            (o["read_at"] + k).alias("read_at"),
-            (F.col("pos") + o["ref_at"] + F.when(o["op"].isin(*"M=X"), k).otherwise(0)).cast("long").alias("ref_at"),
-            F.substring("text", o["read_at"] + k + 1, F.lit(1)).alias("nt"),
-        )
-        every = F.transform(i, entry)
-        wrong = F.filter(i, lambda k: F.substring("text", o["read_at"] + k + 1, F.lit(1)) != F.substring("under", o["ref_at"] + k + 1, F.lit(1)))
-        none = F.array().cast(DIFF_TYPE)
-        return F.when(o["len"] < 1, none).when(o["op"].isin(*"IS"), every).when(o["op"].isin(*"M=X"), F.transform(wrong, entry)).otherwise(none)
-
-    diff = F.flatten(F.transform(offsets("cigar"), one))
-    return fetched.select(row_id, "seqname", "pos", "strand", "cigar", diff.cast(DIFF_TYPE).alias("diff"))
+    diff = F.arrow_udf(_diffs, DIFF_TYPE)("cigar", "pos", "text", "under")
+    return fetched.select(row_id, "seqname", "pos", "strand", "cigar", diff.alias("diff"))
 
 
 def diff_decode(encoded: DataFrame, row_id: str) -> DataFrame:
