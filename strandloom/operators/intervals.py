@@ -4,9 +4,9 @@ An interval becomes a session that starts at its begin and whose gap duration is
 its own length, so that Spark's session_window merges overlapping ones.  Each
 entity's axis is cut into tiles of ``tile`` positions by the interval's begin:
 sessions are merged inside a tile only, so an entity that holds a third of all
-rows is spread over its tiles.  Sessions that overlap are merged in each input
-partition before they are shuffled, so a tile receives from a partition only
-periods that do not overlap: fewer than it has positions, whatever the depth.  A
+rows is spread over its tiles.  Intervals that overlap are united in each Arrow
+batch before they are shuffled, so a tile receives from a batch only periods
+that do not overlap, whatever its depth.  A
 running maximum of ends over the few tile summaries tells each tile how far the
 tiles before it reach; touching and tile-crossing periods are united with it and
 gaps follow from ``lead``.
@@ -14,6 +14,10 @@ gaps follow from ``lead``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -27,17 +31,43 @@ def covered_span(pos: Column | str, cigar: Column | str) -> tuple[Column, Column
     return pos, pos + reference_length(cigar)
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (keys.., _b, _e, _tile): those of equal keys and tile that overlap as one, with their number ``_n``."""
+    for batch in batches:
+        group = np.zeros(batch.num_rows, np.int64)
+        for column in (*batch.columns[:-3], batch.column(batch.num_columns - 1)):
+            coded = column.dictionary_encode(null_encoding="encode")
+            group = group * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
+            group = np.unique(group, return_inverse=True)[1]
+        begin, end = (batch.column(batch.num_columns - k).to_numpy() for k in (3, 2))
+        order = np.lexsort((begin, group))
+        g, b, e = group[order], begin[order], end[order]
+        first = np.append(True, g[1:] != g[:-1])[: len(g)]
+        # Ranks of ends, raised by group, so that a running maximum never crosses groups.
+        ranked, rank = np.unique(e, return_inverse=True)
+        reach = np.maximum.accumulate(g * (len(ranked) + 1) + rank) if len(g) else g
+        reach = ranked[reach - g * (len(ranked) + 1)] if len(g) else e
+        opens = first | np.append(True, b[1:] > reach[:-1])[: len(g)]
+        starts = np.flatnonzero(opens)
+        last = np.append(starts[1:], len(g)) - 1
+        taken = batch.take(pa.array(order[starts]))
+        n = len(taken.columns)
+        columns = [*taken.columns[: n - 3], pa.array(b[starts]), pa.array(reach[last] if len(last) else e), taken.column(n - 1), pa.array(np.diff(np.append(starts, len(g))))]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_n"])
+
+
 def _tiled(df: DataFrame, keys: list[str], begin: Column, end: Column, tile: int) -> DataFrame:
     """(_k0.., _tile, _b, _e): disjoint sorted periods of each tile, and reach before and next start."""
     names = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), begin.cast("long").alias("_b"), end.cast("long").alias("_e"))
     rows = rows.where("_b < _e").withColumn("_tile", F.floor(F.col("_b") / tile))
-    # Overlapping sessions of a tile unite inside each input partition, before the shuffle.
-    df.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
+    # Spark merges sessions after the shuffle only; what overlaps within a batch is united before it.
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    rows = rows.mapInArrow(_united, f"{kinds}, _n long")
     # one position is one microsecond
     at = F.timestamp_micros("_b")
     length = F.expr("make_interval(0, 0, 0, 0, 0, 0, cast((_e - _b) as decimal(18, 0)) / 1000000BD)")
-    merged = rows.withColumn("_at", at).groupBy(*names, "_tile", F.session_window("_at", length).alias("_w")).agg(F.count("*").alias("_rows"))
+    merged = rows.withColumn("_at", at).groupBy(*names, "_tile", F.session_window("_at", length).alias("_w")).agg(F.sum("_n").alias("_rows"))
     return merged.select(*names, "_tile", F.unix_micros("_w.start").alias("_b"), F.unix_micros("_w.end").alias("_e"), "_rows")
 
 

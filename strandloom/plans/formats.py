@@ -146,6 +146,15 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.assemble(_raw(spark, sf_dir), "read_no", F.col("seq"))
 
 
+def contig_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs of the unaligned reads, how many reads lie on each, and the weight of its motif against what it must be."""
+    contigs, placed, motifs = assembly.code_with_contigs(_raw(spark, sf_dir), "read_no", "seq")
+    per = placed.groupBy("contig").agg(F.count("*").alias("reads"), F.sum("length").alias("letters"), F.sum("mismatches").alias("mismatches"))
+    weight = motifs.groupBy("contig").agg(F.sum("weight").alias("weight"))
+    joined = contigs.select("contig", "at", F.length("seq").alias("length")).join(per, "contig", "left").join(weight, "contig")
+    return joined.fillna(0, ["reads", "letters", "mismatches"]).withColumn("expected", 50 * F.col("length") + 4 * F.col("letters"))
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads as a file stream with state: identifiers against the ones before."""
     work = place(spark, "stream")
@@ -160,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fastq_roundtrip, gzip_fastq_read, bzip2_fastq_read, sam_roundtrip, bam_roundtrip, bam_tags, sam_to_fastq, fasta_read,
-        format_sniff, archive_roundtrip, archive_verify, archive_blocks, contigs, stream_ingest,
+        format_sniff, archive_roundtrip, archive_verify, archive_blocks, contigs, contig_coding, stream_ingest,
     )
 }
 

@@ -8,13 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every operator is written for.  Adaptive execution splits skewed
-#: join partitions and coalesces small ones; local session merging combines
-#: overlapping intervals before they are shuffled.
+#: join partitions and coalesces small ones.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import re
 import struct
 import uuid
@@ -17,7 +16,7 @@ from strandloom.functions.cigar import OPS
 from strandloom.functions.nucleotide import NIBBLE_LETTERS
 from strandloom.sources import READ_SCHEMA, bgzf
 from strandloom.sources.fastq import FilePartition
-from strandloom.sources.files import SPLIT, raw, splits
+from strandloom.sources.files import SPLIT, Folder, raw, splits
 
 BATCH = 5000
 _TURN = str.maketrans("ACGTacgt", "TGCAtgca")
@@ -267,13 +266,10 @@ def write(df: DataFrame, path: str, references: DataFrame, text: str | None = No
     every file repeats, so it is collected.  Files appear under their final name
     only when all of them are written.
     """
-    folder = re.sub(r"^file:/+", "/", path)
-    if os.path.isdir(folder) and os.listdir(folder):
-        if not overwrite:
-            raise FileExistsError(f"{folder} exists")
-        for old in os.listdir(folder):
-            os.remove(os.path.join(folder, old))
-    os.makedirs(folder, exist_ok=True)
+    folder = Folder(path)
+    old = folder.names()
+    if old and not overwrite:
+        raise FileExistsError(f"{path} exists")
     names = [(r[0], int(r[1])) for r in references.selectExpr("seqname", "length" if "seq" not in references.columns else "length(seq)").orderBy("seqname").collect()]
     index = {n: i for i, (n, _) in enumerate(names)}
     text = text if text is not None else "@HD\tVN:1.0\tSO:unsorted\n" + "".join(f"@SQ\tSN:{n}\tLN:{s}\n" for n, s in names)
@@ -287,8 +283,8 @@ def write(df: DataFrame, path: str, references: DataFrame, text: str | None = No
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        hidden = os.path.join(folder, f".part-{context.partitionId():05d}-{run_id}-{context.attemptNumber()}.bam")
-        out = bgzf.Writer(open(hidden, "wb"))
+        hidden = f".part-{context.partitionId():05d}-{run_id}-{context.attemptNumber()}.bam"
+        out = bgzf.Writer(folder.create(hidden))
         out.write(head)
         n = 0
         for batch in batches:
@@ -299,12 +295,10 @@ def write(df: DataFrame, path: str, references: DataFrame, text: str | None = No
         yield pa.RecordBatch.from_arrays([pa.array([hidden]), pa.array([n], pa.int64())], ["file", "records"])
 
     done = [r for r in rows.mapInArrow(store, "file string, records long").collect()]
-    final = []
-    for r in sorted(done, key=lambda r: r["file"]):
-        name = re.sub(r"/\.(part-\d+-\w+)-\d+\.bam$", r"/\1.bam", r["file"])
-        os.replace(r["file"], name)
-        final.append(name)
-    for stray in os.listdir(folder):
+    for name in old:
+        folder.remove(name)
+    final = [folder.show(name, re.sub(r"^\.(part-\d+-\w+)-\d+\.bam$", r"\1.bam", name)) for name in sorted(r["file"] for r in done)]
+    for stray in folder.names():  # of attempts that failed
         if stray.startswith("."):
-            os.remove(os.path.join(folder, stray))
+            folder.remove(stray)
     return final

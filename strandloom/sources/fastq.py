@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from strandloom.sources.files import SPLIT, Lines, lines_from, packing_of, splits
+from strandloom.sources.files import SPLIT, Folder, Lines, lines_from, packing_of, splits
 
 BATCH = 5000
 FASTQ_SCHEMA = "_file string, _ord long, id string, seq string, qual string"
@@ -115,7 +114,7 @@ class FastqReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
+    hidden: str
     final: str
 
 
@@ -123,35 +122,33 @@ class FastqWriter(DataSourceWriter):
     """One file a partition, moved into place on commit, removed on abort."""
 
     def __init__(self, path: str, overwrite: bool):
-        self.path = path.removeprefix("file:")
-        if os.path.exists(self.path) and os.listdir(self.path) and not overwrite:
-            raise FileExistsError(f"{self.path} exists")
-        self.old = [os.path.join(self.path, x) for x in os.listdir(self.path)] if overwrite and os.path.isdir(self.path) else []
+        self.folder = Folder(path)
+        self.old = self.folder.names()
+        if self.old and not overwrite:
+            raise FileExistsError(f"{path} exists")
 
     def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
         task = TaskContext.get()
         part = task.partitionId() if task else 0
-        final = os.path.join(self.path, f"part-{part:05d}-{uuid.uuid4().hex[:8]}.fastq")
-        hidden = os.path.join(self.path, f".{os.path.basename(final)}")
-        with open(hidden, "w", newline="\n") as f:
+        final = f"part-{part:05d}-{uuid.uuid4().hex[:8]}.fastq"
+        with self.folder.create(f".{final}") as f:
             for row in rows:
-                f.write(format_record(row["id"], row["seq"], row["qual"]))
-        return Written(hidden, final)
+                f.write(format_record(row["id"], row["seq"], row["qual"]).encode("utf-8", "surrogateescape"))
+        return Written(f".{final}", final)
 
     def commit(self, messages: list[Written | None]) -> None:
-        for path in self.old:
-            os.remove(path)
+        for name in self.old:
+            self.folder.remove(name)
         for m in messages:
             if m:
-                os.replace(m.path, m.final)
+                self.folder.show(m.hidden, m.final)
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+            if m:
+                self.folder.remove(m.hidden)
 
 
 def format_record(name: str, seq: str | None, qual: str | None) -> str:

@@ -67,6 +67,43 @@ def size_of(path: str) -> int:
     return system.get_file_info(inside).size
 
 
+class Folder:
+    """A folder of any file system that parts are written to under hidden names and shown when all of them are whole."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def _at(self, name: str = ""):
+        system, inside = _system(self.path)
+        return system, f"{inside}/{name}" if name else inside
+
+    def names(self) -> list[str]:
+        from pyarrow import fs
+
+        system, inside = self._at()
+        if system.get_file_info(inside).type == fs.FileType.NotFound:
+            return []
+        return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(inside)))
+
+    def create(self, name: str):
+        """A new file's stream."""
+        system, inside = self._at()
+        system.create_dir(inside, recursive=True)
+        return system.open_output_stream(f"{inside}/{name}")
+
+    def remove(self, name: str) -> None:
+        from pyarrow import fs
+
+        system, inside = self._at(name)
+        if system.get_file_info(inside).type != fs.FileType.NotFound:
+            system.delete_file(inside)
+
+    def show(self, hidden: str, name: str) -> str:
+        system, source = self._at(hidden)
+        system.move(source, self._at(name)[1])
+        return f"{re.sub(r'^file:/+', '/', self.path)}/{name}"
+
+
 def packing_of(path: str) -> str:
     """none, gzip or bzip2, by content."""
     with raw(path) as f:

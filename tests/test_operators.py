@@ -289,3 +289,33 @@ def test_contigs_of_all_seeds_equal_one_fold(spark):
     got = assembly.assemble(reads, "n", F.col("seq"), k=k).collect()
     assert {r["contig"]: r["seq"] for r in got} == want and len(got) == len(want)
     assert {0, 2, 4} <= set(want) and "N" in want[2] and not {5, 6} & set(want)
+
+
+def test_contigs_code_reads(spark):
+    """First reads, contigs, offsets, both strands, placements and motifs in one go."""
+    import random
+
+    from strandloom.operators import assembly
+
+    random.seed(6)
+    genome = "".join(random.choices("ACGT", k=700))
+    turn = str.maketrans("ACGT", "TGCA")
+    reads = []
+    for i in range(160):
+        at = random.randrange(0, 620)
+        text = genome[at : at + 80]
+        reads.append((i, text if i % 2 else text[::-1].translate(turn)))
+    df = spark.createDataFrame(reads, "n long, s string")
+    contigs, placed, motifs = assembly.code_with_contigs(df, "n", "s", first=100)
+    rows = {r["contig"]: r for r in contigs.collect()}
+    at = 0
+    for name in sorted(rows):
+        assert rows[name]["at"] == at
+        at += len(rows[name]["seq"])
+    found = placed.collect()
+    assert len(found) > 120 and {r["reverse"] for r in found} == {True, False} and all(r["mismatches"] / r["length"] <= 0.22 for r in found)
+    letters = {}
+    for r in found:
+        letters[r["contig"]] = letters.get(r["contig"], 0) + r["length"]
+    for r in motifs.groupBy("contig").agg({"weight": "sum"}).collect():
+        assert r[1] == 50 * len(rows[r[0]]["seq"]) + 4 * letters.get(r[0], 0)
