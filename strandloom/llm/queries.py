@@ -169,6 +169,29 @@ hits as (select id, off, lag(off) over (partition by id order by off) as prev fr
 runs as (select id, off, sum(case when prev is null or off > prev + {SPAN} then 1 else 0 end) over (partition by id order by off) as run from hits),
 spans as (select id, min(off) as span_start, max(off) + {SPAN} as span_end from runs group by id, run)"""
 
+_CUT_OFF = """w as (select unnest(regexp_extract_all(text, '\\p{L}+')) as t from documents),
+wc as (select t, count(*) as n from w group by t),
+known as (select list(t) as k from wc where n >= (select sum(n) from wc) * 0.005),
+blank as (select doc_id, rtrim(text, chr(32) || chr(10) || chr(13) || chr(9)) as t from documents),
+trimmed as (select doc_id, rtrim(case when ends_with(t, '[...]') then left(t, length(t) - 5) when ends_with(t, '...') then left(t, length(t) - 3) when ends_with(t, '…') then left(t, length(t) - 1)
+  when ends_with(t, '�') then rtrim(t, '�') || 'x' else t || 'x' end, chr(32) || chr(10) || chr(13) || chr(9)) as t, ends_with(t, '[...]') or ends_with(t, '...') or ends_with(t, '…') as marked from blank),
+tokened as (select doc_id, regexp_extract_all(case when marked then t else left(t, length(t) - 1) end, '\\p{L}+|[0-9]+|\\n+|[^\\s\\p{L}0-9]') as tokens from trimmed),
+shaped as (select doc_id, tokens[greatest(1, len(tokens) - 15):] as tail, not list_contains(k, tokens[-1]) and len(list_filter(k, lambda v: starts_with(v, tokens[-1]))) > 0 as half,
+  ['^', '^', '^'] || list_transform(tokens, lambda t: case when list_contains(k, t) then t when ascii(t) between 48 and 57 then '9' when ascii(t) = 10 then chr(10)
+    when upper(t) = lower(t) then case when length(t) > 1 then 'a' else t end when upper(t) = t then case when length(t) > 1 then 'U' else 'A' end
+    when lower(left(t, 1)) = left(t, 1) then 'a' else 'A' end) as s from tokened, known where len(tokens) > 0),
+grams as (select s[i - 2] as a, s[i - 1] as b, s[i] as c, count(*) as n from (select s, unnest(range(4, len(s) + 1)) as i from shaped) group by all),
+tails as (select tail, count(*) as c, any_value(s[len(s) - 2 - cast(half as int):len(s) - cast(half as int)]) as x from shaped group by tail),
+n3 as (select a, b, c, n from grams), n2 as (select b, c, sum(n) as n from grams group by all), n1 as (select c, sum(n) as n from grams group by all),
+e3 as (select x, count(*) as e from tails group by x), e2 as (select x[2:] as x, count(*) as e from tails group by all), e1 as (select x[3] as x, count(*) as e from tails group by all),
+base as (select (select count(*) from tails) / (select sum(n) from grams) as p),
+judged as (select tail, p, greatest(coalesce(n1.n, 0) - t.c, 0) as n1, greatest(coalesce(n2.n, 0) - t.c, 0) as n2, greatest(coalesce(n3.n, 0) - t.c, 0) as n3,
+  case when n1.n is null then 0 else e1.e - 1 end as e1, case when n2.n is null then 0 else e2.e - 1 end as e2, case when n3.n is null then 0 else e3.e - 1 end as e3
+  from tails t, base left join n3 on n3.a = t.x[1] and n3.b = t.x[2] and n3.c = t.x[3] left join n2 on n2.b = t.x[2] and n2.c = t.x[3] left join n1 on n1.c = t.x[3]
+  left join e3 on e3.x = t.x left join e2 on e2.x = t.x[2:] left join e1 on e1.x = t.x[3]),
+lifted as (select tail, (e3 + 3000 * (e2 + 300 * (e1 + 30 * p) / (n1 + 30)) / (n2 + 300)) / (n3 + 3000) / p as lift from judged),
+cut_off as (select doc_id from shaped join lifted using (tail) where lift < 0.8)"""
+
 ORACLES = {
     "p1_found": f"""with {_CANONICAL}
 select read_no from (
@@ -227,6 +250,9 @@ lost as (
 ),
 parts as (select read_no, p, p - row_number() over (partition by read_no order by p) as run from lost)
 select read_no, cast(min(p) as bigint) as span_start, cast(max(p) + 1 as bigint) as span_end from parts group by read_no, run""",
+    "p10_found": f"with {_CUT_OFF} select doc_id from cut_off",
+    "p10_rates": f"""with {_CUT_OFF} select source, count(*) as texts, count(c.doc_id) as truncated, count(c.doc_id) / count(*) as rate
+from documents d left join cut_off c on c.doc_id = d.doc_id group by source""",
     "p6_found": f"""with s as (
   select seqname, string_split_regex(seq, '[Nn]{{10,}}') as parts, regexp_extract_all(seq, '[Nn]{{10,}}') as fills from named_seqs where length(seq) > {LIMIT}
 ), u as (
