@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import hashing, ident, nucleotide, packing
 from strandloom.operators import archive, codec, models
 from strandloom.plans import reads as read_plans
-from strandloom.plans.formats import place
+from strandloom.plans.formats import _REST, _shown, place
 from strandloom.sources import convert, fasta, fastq, files, sam
 
 QUERIES: dict = {}
@@ -177,6 +177,39 @@ def id_crc64(spark, r):
     return hashing.row_crcs(r, ["read_no"], ["id"]).select("read_no", hashing.hex64("crc_id").alias("crc"))
 
 
+def _crc_sql(bytes_: str) -> str:
+    return f"printf('%016x', xor(list_reduce({bytes_}, lambda c, x: xor(tab[cast(xor(c, x) & 255 as integer) + 1], c >> 8)), cast(18446744073709551615 as ubigint)))"
+
+
+def _bytes_sql(text: str) -> str:
+    return f"list_prepend(cast(18446744073709551615 as ubigint), list_transform(range(1, length({text}) + 1), lambda i: cast(ascii(substr({text}, i, 1)) as ubigint)))"
+
+
+@query("aligned_reads", f"""{_CRC.rsplit('b as (', 1)[0]}
+joined as (select _file, (no - 1) // 1000 as block, count(*) as reads, string_agg(id, '' order by no) as ids
+  from (select *, row_number() over (partition by _file order by _ord, read_no) as no from aligned_reads) group by 1, 2)
+select _file, block, reads, {_crc_sql(_bytes_sql('ids'))} as crc_id from joined, t""")
+def block_id_crc64(spark, a):
+    """CRC-64 over the identifiers of blocks of 1000 reads in file order."""
+    return archive.block_checksums(a, ["id"], ["_file"], ["_ord", "read_no"], 1000)
+
+
+ORACLES["tags_binary_bytes"] = """with e as (select read_no, unnest(map_entries(aux)).value as v from aligned_reads),
+s as (select read_no, 3 + case substr(v.type, 1, 1) when 'B' then 5 + case when substr(v.type, 2, 1) in ('c', 'C') then 1 when substr(v.type, 2, 1) in ('s', 'S') then 2 when substr(v.type, 2, 1) = 'd' then 8 else 4 end * coalesce(len(v.ai), len(v.af), 0)
+  when 'A' then 1 when 'Z' then strlen(v.s) + 1 when 'H' then strlen(v.s) + 1 when 'f' then 4 when 'd' then 8
+  else case when v.i between -127 and 255 then 1 when v.i between -32767 and 65535 then 2 else 4 end end as b from e)
+select a.read_no, cast(case when aux is null then null else coalesce(sum(b), 0) end as bigint) as bytes from aligned_reads a left join s using (read_no) group by a.read_no, aux is null"""
+
+
+@query("aligned_reads", f"""with r as (select read_no, id, seq, qual, flags, {_REST} from aligned_reads)
+select read_no, md5(concat_ws(chr(31), '+' || id, coalesce('+' || seq, '-'), coalesce('+' || qual, '-'), '+' || flags, coalesce('+' || seqname, '-'), '+' || cast(strand as varchar), coalesce('+' || pos, '-'), '+' || map_qual,
+  coalesce('+' || cigar, '-'), coalesce('+' || mate_seqname, '-'), coalesce('+' || mate_pos, '-'), '+' || tlen, '+' || tags)) as digest from r""")
+def record_md5(spark, a):
+    """MD5 of every column of an alignment, CIGAR and tags included."""
+    fields = ("id", "seq", "qual", "flags", "seqname", "strand", "pos", "map_qual", "cigar", "mate_seqname", "mate_pos", "tlen", "tags")
+    return _shown(a, "read_no").select("read_no", hashing.row_digest(*fields).alias("digest"))
+
+
 @query("headers", """select _file, record, tags['SN'] as name, tags['LN'] as length, tags['ID'] as id, cast(coalesce(cardinality(tags), 0) as integer) as n_tags from headers where record <> 'CO'""")
 def header_lines(spark, h):
     """Header lines written as text and parsed again."""

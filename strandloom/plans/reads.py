@@ -113,12 +113,13 @@ def low_complexity_kmers(r):
     return rows.where(nucleotide.low_complexity("kmer")).select(nucleotide.canonical("kmer").alias("kmer")).distinct()
 
 
-@query()
+@query(f"with {_windows(12)} select {_CANON.format('k')} as kmer, count(*) as n, true as bounded from w group by 1")
 def kmer_sketch(r):
-    """Count-min upper bounds of the 12-mers of the table, 4 x 2**20 cells."""
+    """Counts of the 12-mers of the table, and whether the count-min sketch of 4 x 2**20 cells bounds each from above."""
     wanted = kmers.count_kmers(r, F.col("seq"), 12)
     sketch = kmers.approximate_counts(r, F.col("seq"), 12)
-    return wanted.join(kmers.approximate_lookup(sketch, wanted.select("kmer")).withColumnRenamed("n", "at_most"), "kmer")
+    found = kmers.approximate_lookup(sketch, wanted.select("kmer")).withColumnRenamed("n", "at_most")
+    return wanted.join(found, "kmer").select("kmer", "n", (F.col("at_most") >= F.col("n")).alias("bounded"))
 
 
 @query(f"""with {_windows(12)}, c as (select read_no, off, k, {_CANON.format('k')} as kmer from w),
