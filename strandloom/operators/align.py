@@ -67,3 +67,14 @@ def route(reads: DataFrame) -> Column:
     """reference, model or none: aligned reads are coded against their reference, others with letters by the model."""
     placed = (F.col("flags").bitwiseAND(4) == 0) & F.col("seqname").isNotNull() & F.col("pos").isNotNull() & F.col("cigar").isNotNull()
     return F.when(placed, "reference").when(F.col("seq") != "", "model").otherwise("none")
+
+
+def record_problem(reads: DataFrame) -> Column:
+    """What makes a record one that no writer would make; null for sound ones."""
+    mapped = F.col("flags").bitwiseAND(4) == 0
+    return (
+        F.when(F.length("seq") != F.length("qual"), "length of qualities")
+        .when(F.col("pos") < 0, "position")
+        .when(mapped & F.col("seqname").isNull(), "no reference")
+        .when(F.col("id").isNull() | (F.col("id") == ""), "no name")
+    )

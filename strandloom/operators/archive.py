@@ -173,12 +173,12 @@ def summary(blocks: DataFrame) -> DataFrame:
 
 
 def ratios(listed: DataFrame) -> DataFrame:
-    """Adds ``ratio`` (stored by raw bytes, one raw byte more for each read), one ratio a column, and bits per base."""
+    """Adds ``ratio`` (stored by raw bytes, one raw byte more for each read), one ratio a column, and bits per base; null where there is nothing."""
     raw = sum((F.col(f"{c}_raw_bytes") for c in COLUMNS), F.col("reads"))
     comp = sum((F.col(f"{c}_comp_bytes") for c in COLUMNS), F.lit(0))
     return listed.select(
         "*",
-        (comp / raw).alias("ratio"),
-        *((F.col(f"{c}_comp_bytes") / F.col(f"{c}_raw_bytes")).alias(f"{c}_ratio") for c in COLUMNS),
-        (F.col("seq_comp_bytes") * 8 / F.col("bases")).alias("bits_per_base"),
+        F.try_divide(comp, raw).alias("ratio"),
+        *(F.try_divide(F.col(f"{c}_comp_bytes"), F.col(f"{c}_raw_bytes")).alias(f"{c}_ratio") for c in COLUMNS),
+        F.try_divide(F.col("seq_comp_bytes") * 8, F.col("bases")).alias("bits_per_base"),
     )

@@ -101,11 +101,19 @@ def alignment_rate(a):
     return a.groupBy("_file").agg(F.count("*").alias("reads"), F.round(F.avg(ok.cast("int")), 9).alias("rate"))
 
 
-@query("""select read_no from aligned_reads where seq is not null and qual is not null and length(seq) <> length(qual) or pos < 0 or flags & 4 = 0 and seqname is null""")
+@query("""with damaged as (select read_no, id, seq, case when map_qual = 60 then substr(qual, 2) else qual end as qual, flags, case when map_qual between 20 and 40 then -pos else pos end as pos,
+  case when map_qual < 20 then null else seqname end as seqname from aligned_reads)
+select read_no, problem from (select read_no, case when length(seq) <> length(qual) then 'length of qualities' when pos < 0 then 'position' when flags & 4 = 0 and seqname is null then 'no reference' when id is null or id = '' then 'no name' end as problem from damaged)
+where problem is not null""")
 def invalid_records(a):
-    """Records no writer would make: lengths that differ, negative positions, mapped without reference."""
-    wrong = (F.length("seq") != F.length("qual")) | (F.col("pos") < 0) | ((F.col("flags").bitwiseAND(4) == 0) & F.col("seqname").isNull())
-    return a.where(wrong).select("read_no")
+    """Records no writer would make, among reads that are damaged here by their mapping quality."""
+    q = F.col("map_qual")
+    damaged = a.withColumns({
+        "qual": F.when(q == 60, F.substring("qual", F.lit(2), F.length("qual"))).otherwise(F.col("qual")),
+        "pos": F.when(q.between(20, 40), -F.col("pos")).otherwise(F.col("pos")),
+        "seqname": F.when(q >= 20, F.col("seqname")),
+    })
+    return damaged.select("read_no", aligner.record_problem(damaged).alias("problem")).where("problem is not null")
 
 
 # edit operations -----------------------------------------------------------
@@ -195,11 +203,12 @@ def header_check(h, n):
     return reference.header_check(h, n)
 
 
-@query("select seqname, 'length' as problem from named_seqs where length is not null and length <> length(seq)", "named_seqs")
+@query("""select seqname, problem from (select seqname, case when length is null then 'only left' when length < length(seq) then 'length'
+  when upper(translate(seq, 'a', 'c')) <> upper(seq) then 'content' end as problem from named_seqs) where problem is not null""", "named_seqs")
 def ref_dict_check(n):
-    """The dictionary against its own declared lengths."""
-    declared = n.where("length is not null").select("seqname", F.rpad(F.lit(""), F.col("length").cast("int"), F.lit("N")).alias("seq"))
-    return reference.dictionary_check(n.join(declared.select("seqname"), "seqname", "left_semi"), declared).where("problem = 'length'")
+    """The dictionary against a damaged one: names missing, sequences cut to their declared length, letters changed."""
+    other = F.when(F.col("length") < F.length("seq"), F.substring("seq", F.lit(1), F.col("length").cast("int"))).otherwise(F.translate("seq", "a", "c"))
+    return reference.dictionary_check(n, n.where("length is not null").select("seqname", other.alias("seq")))
 
 
 @query("select seqname, length(seq) as letters, length(seq) - length(translate(seq, 'Nn', '')) as n_letters, row_number() over (order by seqname) as no from named_seqs", "named_seqs")

@@ -12,7 +12,7 @@ from strandloom.functions.nucleotide import revcomp
 from strandloom.functions.tags import format_tags, parse_tags
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(_file, _ord, value): lines with their number in the file.
 
     Files are split: the order of a line is its split's byte offset and its
@@ -81,7 +81,7 @@ def parse_alignments(lines: DataFrame) -> DataFrame:
     )
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Reads of SAM files, gzip and bzip2 by ending."""
     return parse_alignments(_lines(spark, path).where("value not like '@__\\t%' and value != ''"))
 

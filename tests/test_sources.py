@@ -280,3 +280,22 @@ def test_several_inputs_do_not_interleave(spark, tmp_path):
         convert.convert(spark, f"{tmp_path}/x,{tmp_path}/y", target, kind)
         back = convert.read(spark, target, kind).orderBy("_file", "_ord").collect()
         assert [r["id"] for r in back] == [f"{f}{i}" for f in "xy" for i in range(50)], kind
+
+
+def test_commands(spark, tmp_path, capsys):
+    from strandloom.__main__ import arguments, run
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@{name}{i}\nACGT\n+\nIIII\n" for i in range(30)))
+    target = str(tmp_path / "both.reads")
+    run(spark, arguments(["convert", str(tmp_path / "a.fastq"), str(tmp_path / "b.fastq"), "-o", target]))
+    run(spark, arguments(["test", target, str(tmp_path / "a.fastq")]))
+    with pytest.raises(Exception, match="(?i)exist"):
+        run(spark, arguments(["convert", str(tmp_path / "a.fastq"), "-o", target]))
+    with pytest.raises(ValueError):
+        run(spark, arguments(["list", str(tmp_path / "a.fastq")]))
+    run(spark, arguments(["list", target, str(tmp_path / "a.fastq")]))
+    shown = capsys.readouterr().out
+    assert "a.fastq" in shown and "b.fastq" in shown and "bits_per_base" in shown
+    run(spark, arguments(["convert", target, "-o", str(tmp_path / "c.sam"), "-t", "sam", "-f"]))
+    assert convert.read(spark, str(tmp_path / "c.sam")).count() == 60
