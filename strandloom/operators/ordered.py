@@ -8,6 +8,9 @@ run inside chunks, and one summary row a chunk carries what the next one needs
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -88,26 +91,45 @@ def chunk_totals(df: DataFrame, part: list[str], order: list[str], sums: dict[st
     )
 
 
+def _folded(chunks: DataFrame, part: list[str], pick: list[str], name: str, kind: str, start: Callable[[], object], step: Callable) -> DataFrame:
+    """``chunks`` with a column from a fold over the chunks of each part in order.
+
+    ``step`` takes the state and the picked values and gives the next state and
+    the column's value.  Chunks stream through sorted; nothing of a part is held
+    but its state.
+    """
+    n = len(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, None
+        for batch in batches:
+            out = []
+            for *key, at in zip(*(batch.column(i).to_pylist() for i in range(n)), range(batch.num_rows), strict=True):
+                if key != held:
+                    held, state = key, start()
+                state, value = step(state, *(batch.column(c)[at].as_py() for c in pick))
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, batch_kind)], [*batch.schema.names, name])
+
+    batch_kind = pa.int64() if kind == "long" else pa.int32()
+    rows = chunks.select(*part, *(c for c in chunks.columns if c not in part))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    ordered = rows.repartition(*part).sortWithinPartitions(*part, "chunk")
+    return ordered.mapInArrow(run, f"{kinds}, {name} {kind}").select(*chunks.columns, name)
+
+
 def block_cuts(chunks: DataFrame, part: list[str], size: str = "bases", most: int = 5_000_000) -> DataFrame:
     """``chunks`` with ``block``: a block ends with the chunk that takes it beyond ``most``.
 
-    The reset makes this a fold, done over one row for each 5000 reads: the
-    chunks of a part are gathered as an array of numbers, 16 bytes each.
+    The reset makes this a fold, over one row for each 5000 reads.
     """
-    rows = chunks.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("chunk", size))).alias("_all"))
-    start = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<chunk:bigint,block:bigint>>").alias("out"))
 
-    def step(acc: Column, c: Column) -> Column:
-        held = acc["held"] + c[size]
-        full = held > most
-        return F.struct(
-            (acc["block"] + full.cast("long")).alias("block"),
-            F.when(full, F.lit(0)).otherwise(held).cast("long").alias("held"),
-            F.concat(acc["out"], F.array(F.struct(c["chunk"].cast("long").alias("chunk"), acc["block"].alias("block")))).alias("out"),
-        )
+    def step(state: tuple[int, int], bases: int) -> tuple[tuple[int, int], int]:
+        block, held = state
+        held += bases
+        return ((block + 1, 0) if held > most else (block, held)), block
 
-    cuts = rows.select(*part, F.explode(F.aggregate("_all", start, step)["out"]).alias("_c")).select(*part, F.col("_c.chunk").alias("chunk"), F.col("_c.block").alias("block"))
-    return chunks.alias("r").join(cuts.alias("c"), _same([*part, "chunk"])).select("r.*", "c.block")
+    return _folded(chunks, part, [size], "block", "long", lambda: (0, 0), step)
 
 
 def scheme_changes(chunks: DataFrame, part: list[str], low: str = "low", high: str = "high", first: int = 33, width: int = 64) -> DataFrame:
@@ -116,16 +138,13 @@ def scheme_changes(chunks: DataFrame, part: list[str], low: str = "low", high: s
     The base starts at ``first`` and becomes the chunk's minimum whenever a chunk
     goes below it or reaches base + width; chunks without qualities keep it.
     """
-    rows = chunks.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("chunk", F.col(low).cast("int").alias("low"), F.col(high).cast("int").alias("high")))).alias("_all"))
-    start = F.struct(F.lit(first).alias("base"), F.array().cast("array<struct<chunk:bigint,base:int>>").alias("out"))
 
-    def step(acc: Column, c: Column) -> Column:
-        outside = F.coalesce((c["low"] < acc["base"]) | (c["high"] >= acc["base"] + width), F.lit(False))
-        base = F.when(outside, c["low"]).otherwise(acc["base"])
-        return F.struct(base.alias("base"), F.concat(acc["out"], F.array(F.struct(c["chunk"].cast("long").alias("chunk"), base.alias("base")))).alias("out"))
+    def step(base: int, least: int | None, greatest: int | None) -> tuple[int, int]:
+        if least is not None and greatest is not None and (least < base or greatest >= base + width):
+            base = least
+        return base, base
 
-    found = rows.select(*part, F.explode(F.aggregate("_all", start, step)["out"]).alias("_c")).select(*part, F.col("_c.chunk").alias("chunk"), F.col("_c.base").alias("base"))
-    return chunks.alias("r").join(found.alias("c"), _same([*part, "chunk"])).select("r.*", "c.base")
+    return _folded(chunks, part, [low, high], "base", "int", lambda: first, step)
 
 
 def first_rows(df: DataFrame, n: int, part: list[str], order: list[str]) -> DataFrame:
