@@ -13,6 +13,8 @@ from strandloom.session import cut
 SHARE, LEAST = 0.01, 5
 SPAN = 48
 LIMIT, OVERLAP = 12_000, 200
+#: Setting that names the tokenizer's vocabulary file, and where it lies if nothing is set.
+VOCABULARY = "spark.strandloom.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +92,7 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(_table(spark, sf_dir, "documents"), F.col("text"), [F.col("doc_id"), F.col("source")])
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), F.col("text"), [F.col("doc_id"), F.col("source")], spark.conf.get(*VOCABULARY))
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[int, int]:

@@ -9,14 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where the vocabulary lies; a parameter of every operator that counts tokens.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-
 #: Fixed value: the published splitting pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
+def encoder(vocabulary: str, pattern: str = PATTERN):
     """A tiktoken encoding of a file of base64 tokens and ranks."""
     import tiktoken
 
@@ -52,10 +49,12 @@ def _portions(text: str, size: int) -> Iterator[str]:
 
 
 def token_counts(
-    df: DataFrame, text: Column, keep: list[Column], vocabulary: str = VOCABULARY, pattern: str = PATTERN, portion: int = 1 << 20
+    df: DataFrame, text: Column, keep: list[Column], vocabulary: str, pattern: str = PATTERN, portion: int = 1 << 20
 ) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` of every row.
 
+    ``vocabulary`` is a file that every executor can read.
+
     A null or empty text has 0 tokens.  Texts beyond ``portion`` letters are
     counted in portions cut before a space.  Only ``keep`` travels on.
     """

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandloom.llm import frequent, mixing, neardup, packing, pieces, seen, spans, tokens, truncated
+from strandloom.llm import frequent, mixing, neardup, packing, pieces, queries, seen, spans, tokens, truncated
 
 TURN = str.maketrans("ACGT", "TGCA")
 
@@ -424,17 +424,17 @@ def test_pieces(spark):
 
 # packing and mixing ---------------------------------------------------------------------------
 
-needs_vocabulary = pytest.mark.skipif(not Path(tokens.VOCABULARY).exists(), reason="no vocabulary here")
+needs_vocabulary = pytest.mark.skipif(not Path(queries.VOCABULARY[1]).exists(), reason="no vocabulary here")
 
 
 @needs_vocabulary
 def test_token_counts(spark):
     texts = ["hello world", "", None, "a  b\n\nc", "naïve 123", "word " * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "n_tokens long, text string")
-    coder = tokens.encoder()
+    coder = tokens.encoder(queries.VOCABULARY[1])
     expected = {i: len(coder.encode_ordinary(t or "")) for i, t in enumerate(texts)}
     for portion in (1 << 20, 50):
-        got = tokens.token_counts(df, F.col("text"), [F.col("n_tokens").alias("id")], portion=portion).collect()
+        got = tokens.token_counts(df, F.col("text"), [F.col("n_tokens").alias("id")], queries.VOCABULARY[1], portion=portion).collect()
         assert {r["id"]: r["n_tokens"] for r in got} == expected
 
 
