@@ -39,7 +39,7 @@ _CLASS = """
        when upper(t) = t then if(length(t) > 1, 'U', 'A')
        when lower(left(t, 1)) = left(t, 1) then 'a' else 'A' end"""
 
-_BLANKS = r"' \\n\\r\\t'"
+_BLANKS = r"' \n\r\t'"
 
 
 def _trimmed(text: str) -> str:

@@ -591,6 +591,12 @@ def test_cut_texts_are_found(spark):
     assert truncated.truncated_texts(df.where("false"), "row_id", "tokens").count() == 0
 
 
+def test_only_blanks_and_marks_are_trimmed(spark):
+    texts = {"barn": "barn", "next \n\n": "next", "or\t\r": "or", "cut…\n": "cut", "cut...": "cut", "cut [...] ": "cut", "half��": "half", "end.": "end.", "a\\": "a\\", " \n": ""}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: r[1] for r in df.selectExpr("t", truncated._trimmed("t")).collect()} == texts
+
+
 def test_registered():
     from strandloom.llm import queries
 
