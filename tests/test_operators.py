@@ -283,6 +283,21 @@ def test_alignment_of_batches_equals_joins(spark, monkeypatch, cap):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, stepped.collect())) == want
 
 
+def test_unaligned_reads_shuffle_row_ids_only(spark, tmp_path):
+    """Reads that are null, short or of other letters stay; nothing but the anti join of row ids moves rows."""
+    from strandloom.plans.alignments import QUERIES
+
+    random.seed(15)
+    contig = "".join(random.choices("ACGT", k=9000))
+    seqs = [None, "", contig[:11], "N" * 50, "R" + contig[10:60], contig[4050:4150], turned(contig[8000:8040]), contig[40:52].lower()]
+    spark.createDataFrame(list(enumerate(seqs)), "read_no long, seq string").repartition(4).write.parquet(f"{tmp_path}/aligned_reads.parquet")
+    spark.createDataFrame([("c", contig)], "seqname string, seq string").write.parquet(f"{tmp_path}/named_seqs.parquet")
+    got = QUERIES["unaligned_reads"](spark, str(tmp_path))
+    exchanges = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+    assert len(exchanges) <= 2, exchanges
+    assert sorted(r["read_no"] for r in got.collect()) == [0, 1, 2, 3]
+
+
 def test_contigs_cover_the_genome(spark):
     random.seed(4)
     genome = "".join(random.choices("ACGT", k=600))
