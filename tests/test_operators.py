@@ -329,6 +329,24 @@ def test_contigs_of_all_seeds_equal_one_fold(spark):
     assert {0, 2, 4} <= set(want) and "N" in want[2] and not {5, 6} & set(want)
 
 
+def test_contigs_need_no_ordered_task(spark, monkeypatch):
+    """The first reads are found by counts; k-mers counted in slices and folds of other sizes give the same contigs."""
+    random.seed(8)
+    genome = "".join(random.choices("ACGT", k=900))
+    reads = [((i - 40) * 1000003 if i % 3 else i, genome[s : s + 90]) for i, s in enumerate(random.choices(range(810), k=150))]
+    df = spark.createDataFrame(reads, "n long, s string").repartition(3)
+    asked, plain = [], assembly.assemble
+    monkeypatch.setattr(assembly, "assemble", lambda rows, *a, **b: asked.append(rows) or plain(rows, *a, **b))
+    contigs, _, _ = assembly.code_with_contigs(df, "n", "s", first=100)
+    assert not any(x in asked[0]._jdf.queryExecution().executedPlan().toString() for x in ("TakeOrdered", "Limit", "Sort"))
+    assert sorted(r["n"] for r in asked[0].collect()) == sorted(n for n, _ in reads)[:100]
+    want = {r["contig"]: r["seq"] for r in contigs.collect()}
+    monkeypatch.setattr(assembly, "LETTERS_AT_ONCE", 500)
+    monkeypatch.setattr(assembly, "FOLDS", 1)
+    again, _, _ = assembly.code_with_contigs(df, "n", "s", first=100)
+    assert want and {r["contig"]: r["seq"] for r in again.collect()} == want
+
+
 def test_contigs_code_reads(spark):
     """First reads, contigs, offsets, both strands, placements and motifs in one go."""
     import random
